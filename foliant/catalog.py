@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from foliant.operators import orphans
+
+_MODULES = [orphans]
+
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
