@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import near_dup, split
+from foliant.llm import leaks, lookalike, near_dup, split, tokens
 from foliant.plans.staging import scan
 
 
@@ -41,7 +41,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("pieces > 1").select("table_name", "field_name", "item_key").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document."""
+    return tokens.encode(scan(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of evaluation lines."""
+    return leaks.find_leaks(scan(spark, d, "documents"), "doc_id", "text", scan(spark, d, "transcription_samples"), "sample_id", "ground_truth")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look the same and are stored differently."""
+    return lookalike.same_look_pairs(scan(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 SQL = {
     "p2_found": """
