@@ -19,12 +19,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from foliant.llm._hashing import distinct_by_owner, mix, shingles, word_hashes
 from foliant.plans.staging import spread, stage
 
 #: A class of byte-equal texts with more keys than this is paired through its smallest key alone.
 EXPAND_LIMIT = 1000
+#: Registers of which a byte is compared before whole sets are.
+SKETCH = 64
 
 
 def probminhash(values: np.ndarray, owner: np.ndarray, n_sets: int, m: int) -> np.ndarray:
@@ -95,28 +98,43 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, *, shingle: int = 5
                 yield pd.DataFrame({"h": p["h"].to_numpy()[long], "b": list(keys)})
 
     signed = spread(base.select("h", "t")).mapInPandas(sign, "h long, b array<long>")
-    banded = signed.select("h", F.explode("b").alias("b")).distinct()
-    shared = banded.groupBy("b").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n"))
-    shared = stage(shared.where("lo < hi"), "near-dup-buckets")
-    two = shared.where("n = 2").select("lo", "hi")
-    if shared.where("n > 2").limit(1).count():
-        # buckets of three and more: every text against the later ones of its bucket, skew split by AQE
-        more = stage(banded.join(shared.where("n > 2").select("b"), "b", "left_semi"), "near-dup-members")
-        two = two.unionByName(more.alias("x").join(more.alias("y"), F.expr("x.b = y.b and x.h < y.h"))
-                              .select(F.col("x.h").alias("lo"), F.col("y.h").alias("hi")))
-    candidates = stage(two.distinct(), "near-dup-candidates")
+    bucket = W.partitionBy("b")
+    shared = signed.select("h", F.explode("b").alias("b")) \
+        .select("b", "h", F.min("h").over(bucket).alias("lo"), F.max("h").over(bucket).alias("hi")).where("lo < hi").select("b", "h")
+    shared = stage(shared, "near-dup-buckets").distinct()
+    # every text against the later ones of its bucket; AQE splits a bucket that is too large for a task
+    candidates = shared.alias("x").join(shared.alias("y"), F.expr("x.b = y.b and x.h < y.h")) \
+        .select(F.col("x.h").alias("lo"), F.col("y.h").alias("hi")).distinct()
+    candidates = stage(candidates, "near-dup-candidates")
     wanted = candidates.select(F.explode(F.array("lo", "hi")).alias("h")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            values, owner, _ = _sets(b["t"].tolist(), shingle, 0)
-            cut = np.searchsorted(owner, np.arange(1, len(b)))
-            yield pd.DataFrame({"h": b["h"].to_numpy(), "s": np.split(values.view(np.int64), cut) if len(b) else []})
+            for at in range(0, len(b), 1000):
+                p = b.iloc[at : at + 1000]
+                values, owner, _ = _sets(p["t"].tolist(), shingle, 0)
+                cut = np.searchsorted(owner, np.arange(1, len(p)))
+                sketch = (probminhash(values, owner, len(p), SKETCH) >> np.uint64(20)).astype(np.uint8)
+                yield pd.DataFrame({"h": p["h"].to_numpy(), "s": np.split(values.view(np.int64), cut), "k": [r.tobytes() for r in sketch]})
 
     texts = base.select("h", "t").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    sized = stage(texts.mapInPandas(sets, "h long, s array<long>"), "near-dup-sets")
-    both = candidates.join(sized.select(F.col("h").alias("lo"), F.col("s").alias("sa")), "lo") \
-        .join(sized.select(F.col("h").alias("hi"), F.col("s").alias("sb")), "hi") \
+    sized = stage(texts.mapInPandas(sets, "h long, s array<long>, k binary"), "near-dup-sets")
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, SKETCH) for c in ("ka", "kb"))
+            keep = (x == y).mean(axis=1) >= threshold - slack
+            yield b.loc[keep, ["lo", "hi"]]
+
+    # a byte of some registers is enough to drop pairs that are far apart before whole sets move
+    slack = 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5 + 1e-9
+    near = candidates.join(sized.select(F.col("h").alias("lo"), F.col("k").alias("ka")), "lo") \
+        .join(sized.select(F.col("h").alias("hi"), F.col("k").alias("kb")), "hi").mapInPandas(alike, "lo long, hi long")
+    near = stage(near, "near-dup-near")
+    ends = near.select(F.explode(F.array("lo", "hi")).alias("h")).distinct()
+    whole = sized.select("h", "s").join(ends, "h", "left_semi")
+    both = near.join(whole.select(F.col("h").alias("lo"), F.col("s").alias("sa")), "lo") \
+        .join(whole.select(F.col("h").alias("hi"), F.col("s").alias("sb")), "hi") \
         .withColumn("common", F.size(F.array_intersect("sa", "sb")))
     links = both.where(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9) \
         .select("lo", "hi")
