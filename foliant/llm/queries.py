@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import leaks, lookalike, near_dup, split, tokens
+from foliant.llm import langid, leaks, lookalike, near_dup, split, tokens
 from foliant.plans.staging import scan
 
 
@@ -41,6 +41,40 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("pieces > 1").select("table_name", "field_name", "item_key").distinct()
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """field_name, item_key, labels (codes), text of what problem 4 is about; repeated rows once."""
+    regions = scan(spark, d, "records").where("unit_type = 'region'").select(
+        F.lit("ocr.language").alias("field_name"), F.col("record_id").alias("item_key"),
+        F.array_compact(F.array(langid.language_code(F.col("ocr.language")))).alias("labels"), F.col("ocr.full_text").alias("text"))
+    pages = scan(spark, d, "page_detail").select(
+        F.lit("page_detail.language").alias("field_name"), F.col("page_id").alias("item_key"),
+        F.array_compact(F.transform(F.coalesce("language", F.array()), langid.language_code)).alias("labels"),
+        F.concat_ws("\n\n", "printed_text", "handwritten_text").alias("text"))
+    return regions.unionByName(pages)
+
+
+def _language_model(spark: SparkSession, d: str) -> langid.Model | None:
+    return langid.fit(scan(spark, d, "records").where("unit_type = 'region'").select(F.col("ocr.full_text").alias("text"), F.col("ocr.language").alias("label")),
+                      "text", "label")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages a text has a sentence in and its label doesn't stand for."""
+    model = _language_model(spark, d)
+    if model is None:
+        return spark.createDataFrame([], "field_name string, item_key string, lang string")
+    found = langid.languages(_labelled(spark, d), ["field_name", "item_key", "labels"], "text", model)
+    return found.where(~F.array_contains("labels", F.col("lang"))).select("field_name", "item_key", "lang").distinct()
+
+
+def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch in one language of every text, with its confidence."""
+    model = _language_model(spark, d)
+    if model is None:
+        return spark.createDataFrame([], "field_name string, item_key string, stretch_no int, start_pos int, end_pos int, lang string, confidence double, n_words int")
+    return langid.stretches(_labelled(spark, d).drop("labels").distinct(), ["field_name", "item_key"], "text", model)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document."""
     return tokens.encode(scan(spark, d, "documents"), "doc_id", "text")
@@ -56,7 +90,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(scan(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_stretches": p4_stretches, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 SQL = {
     "p2_found": """

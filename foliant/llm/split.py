@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.staging import spread
 
 MAX_CHARS, OVERLAP = 4000, 200
 #: What a cut costs, by the kind of boundary it is at.
@@ -91,7 +90,7 @@ def split_texts(df: DataFrame, ids: list[str], text: str, *, max_chars: int = MA
     src = df.select(*ids, F.col(text).alias("__text")).where(F.col("__text").isNotNull())
     if only_long:
         src = src.where(F.length("__text") > max_chars)
-    src = spread(src.dropDuplicates())
+    src = src.dropDuplicates()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "__text") \
         + ", piece_no int, pieces int, start_pos int, boundary string, piece string"
 
