@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, leaks, lookalike, near_dup, split, tokens
+from foliant.llm import langid, leaks, lookalike, names, near_dup, split, tokens
 from foliant.plans.staging import scan
 
 
@@ -41,6 +41,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("pieces > 1").select("table_name", "field_name", "item_key").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of mentions and the register entries they stand for."""
+    mentions = scan(spark, d, "records").select(F.explode("entities.text").alias("text"))
+    return names.link_spellings(mentions, "text", scan(spark, d, "authority_names"), "authority_id", "entity_type", "full_name")
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """field_name, item_key, labels (codes), text of what problem 4 is about; repeated rows once."""
     regions = scan(spark, d, "records").where("unit_type = 'region'").select(
@@ -90,7 +96,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(scan(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_stretches": p4_stretches, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 SQL = {
     "p2_found": """
