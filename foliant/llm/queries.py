@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, leaks, lookalike, names, near_dup, split, tokens
-from foliant.plans.staging import scan
+from foliant.llm import langid, leaks, lookalike, names, near_dup, ocr, split, tokens
+from foliant.plans.staging import scan, stage
 
 
 def _region_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +81,40 @@ def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
     return langid.stretches(_labelled(spark, d).drop("labels").distinct(), ["field_name", "item_key"], "text", model)
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """table_name, document_id, page_id, region_id, text of all regions, raw and recorded."""
+    recorded = scan(spark, d, "records").where("unit_type = 'region'").select(
+        F.lit("records").alias("table_name"), "document_id", "page_id", "region_id", F.col("ocr.full_text").alias("text"))
+    raw = scan(spark, d, "transcribed_regions").select(
+        F.lit("transcribed_regions").alias("table_name"), "document_id", "page_id", "region_id", F.col("full_text").alias("text"))
+    return recorded.unionByName(raw)
+
+
+_REGION = ["table_name", "page_id", "region_id"]
+
+
+def _defects(spark: SparkSession, d: str):
+    regions = _scanned(spark, d)
+    words = stage(ocr.count_words(regions, "text"), "words")
+    mentions = scan(spark, d, "records").select(F.explode("entities.text").alias("t")) \
+        .unionByName(scan(spark, d, "authority_names").select(F.col("full_name").alias("t"))).distinct()
+    names = mentions.select(F.explode(F.expr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+([·-][\\p{L}\\p{N}]+)*', 0)")).alias("word"))
+    fixes = stage(ocr.corrections(words, names), "corrections")
+    stems, tails = ocr.header_stems(regions, "document_id", "text")
+    return regions, ocr.find_defects(regions, _REGION, "text", words, fixes, stems, tails, "page_id"), stems, tails
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defects of scanned text."""
+    return _defects(spark, d)[1].select(*_REGION, "defect", "word").distinct()
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The regions' texts as continuous readable paragraphs."""
+    regions, defects, stems, tails = _defects(spark, d)
+    return ocr.repair(regions, _REGION, "text", stage(defects, "defects-found"), stems, tails, "page_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document."""
     return tokens.encode(scan(spark, d, "documents"), "doc_id", "text")
@@ -96,7 +130,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(scan(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 SQL = {
     "p2_found": """
