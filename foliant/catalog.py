@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.operators import orphans
+from foliant.operators import archive, orphans
 
-_MODULES = [orphans]
+_MODULES = [orphans, archive]
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
