@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.operators import archive, orphans, retrieval, router
+from foliant.operators import archive, orphans, retrieval, router, spatial, summary
 
-_MODULES = [orphans, archive, retrieval, router]
+_MODULES = [orphans, archive, retrieval, router, spatial, summary]
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
