@@ -120,17 +120,16 @@ def json_object(text: Column) -> Column:
     return F.regexp_replace(body, r",\s*([}\]])", "$1")
 
 
-@F.pandas_udf("string")
-def normalize_text(s: pd.Series) -> pd.Series:
-    """NFKD without combining marks, lower case, other than letters and digits to single blanks [F15]."""
+def normalized(t: str | None) -> str | None:
+    if t is None:
+        return None
+    bare = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    return " ".join("".join(c if c.isalnum() else " " for c in bare).split())
 
-    def one(t):
-        if t is None:
-            return None
-        bare = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
-        return " ".join("".join(c if c.isalnum() else " " for c in bare).split())
 
-    return s.map(one)
+def normalize_text(c) -> Column:
+    """NFKD without combining marks, lower case, other than letters and digits to single blanks [F15]."""
+    return F.pandas_udf(lambda s: s.map(normalized), "string")(c)
 
 
 def _edits(a: list, b: list) -> int:
@@ -143,15 +142,15 @@ def _edits(a: list, b: list) -> int:
     return prev[-1]
 
 
-@F.pandas_udf("double")
-def word_error_rate(truth: pd.Series, guess: pd.Series) -> pd.Series:
-    """Edits between the words of two texts over the number of true words; 0 for two empty texts [F17]."""
+def word_errors(truth: str | None, guess: str | None) -> float:
+    a, b = (truth or "").split(), (guess or "").split()
+    return _edits(a, b) / len(a) if a else float(bool(b))
 
-    def one(t, g):
-        a, b = (t or "").split(), (g or "").split()
-        return _edits(a, b) / len(a) if a else float(bool(b))
 
-    return pd.Series([one(t, g) for t, g in zip(truth, guess)], dtype="float64")
+def word_error_rate(truth, guess) -> Column:
+    """Edits between the words of two texts over the number of true words; 0 for two empty texts [F17]."""
+    rate = F.pandas_udf(lambda t, g: pd.Series([word_errors(x, y) for x, y in zip(t, g)], dtype="float64"), "double")
+    return rate(truth, guess)
 
 
 def char_error_rate(truth: Column, guess: Column) -> Column:
