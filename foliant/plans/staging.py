@@ -40,6 +40,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, reuse costs a scan."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-staged/{name}-{uuid.uuid4().hex}"
+    if path.startswith(("file:", "/")):  # elsewhere the folder's own policy removes them
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), True)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
