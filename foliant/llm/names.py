@@ -309,7 +309,8 @@ def link_spellings(spellings: DataFrame, text: str, register: DataFrame, key: st
                     i, score, form, of = got
                     stands = None if form is None else profiles.people[i][0] if of == "given" else " ".join(profiles.bodies[i][0])
                     found.append((t, i, form, of, stands))
-                yield pd.DataFrame(found, columns=["spelling", "id", "form", "of", "stands"])
+                if found:
+                    yield pd.DataFrame(found, columns=["spelling", "id", "form", "of", "stands"])
 
         result = stage(spread(open_).mapInPandas(compare, f"spelling string, id {id_type}, form string, of string, stands string"), "name-merges")
         sure = result.where("form is null").select("spelling", "id")
