@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.operators import archive, evaluation, neighbours, orphans, retrieval, router, sampling, spatial, summary
+from foliant.operators import archive, evaluation, layouts, neighbours, orphans, retrieval, router, sampling, spatial, summary
 
-_MODULES = [orphans, archive, retrieval, router, spatial, summary, evaluation, sampling, neighbours]
+_MODULES = [orphans, archive, retrieval, router, spatial, summary, evaluation, sampling, neighbours, layouts]
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
