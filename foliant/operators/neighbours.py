@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from foliant.functions import vectors as V
 from foliant.plans.registry import Registry
-from foliant.plans.staging import scan
+from foliant.plans.staging import bounded, scan
 
 R = Registry()
 
@@ -19,7 +19,7 @@ def knn(df: DataFrame, queries: DataFrame, key: str, vector: str, by: str, k: in
     """(key, neighbour, distance, rank): the k nearest rows of the same group for each row of a stated query set, itself
     included [K2]."""
     q = queries.select(F.col(key).alias("__q"), F.col(by), F.col(vector).alias("__v"))
-    pairs = df.join(F.broadcast(q), by).select(F.col("__q").alias(key), F.col(key).alias("neighbour"), F.round(V.euclidean(F.col(vector), F.col("__v")), 5).alias("distance"))
+    pairs = df.join(bounded(q), by).select(F.col("__q").alias(key), F.col(key).alias("neighbour"), F.round(V.euclidean(F.col(vector), F.col("__v")), 5).alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
 
 

@@ -16,10 +16,12 @@ from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators.archive import LATEST, latest_records
 from foliant.plans.registry import Registry
-from foliant.plans.staging import scan
+from foliant.plans.staging import bounded, scan
 
 R = Registry()
 K1, B, TOP_K, POOL, RRF_K, CUTOFF = 1.5, 0.75, 8, 50, 60, 0.45
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 20_000
 
 
 def equals(column: str, value: str) -> Column:
@@ -50,7 +52,7 @@ def bm25(corpus: DataFrame, questions: DataFrame, k: int = TOP_K, k1: float = K1
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
     asked = questions.select("question_id", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
     terms = asked.select("term").distinct()
-    postings = docs.select("node_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(F.broadcast(terms), "term", "left_semi") \
+    postings = docs.select("node_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(bounded(terms), "term", "left_semi") \
         .groupBy("node_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     # a term's weight in a document doesn't depend on the question: it is computed once a posting
@@ -63,10 +65,18 @@ def bm25(corpus: DataFrame, questions: DataFrame, k: int = TOP_K, k1: float = K1
 
 def vector_search(nodes: DataFrame, queries: DataFrame, k: int = TOP_K, digits: int = 6, exclude_self: bool = True) -> DataFrame:
     """(question_id, node_id, score, rank) by cosine [J5]. nodes: (node_id, embedding); queries: (question_id, embedding), the
-    stated query set, of a size that can be broadcast."""
+    stated query set; it is compared with all nodes in blocks of ``QUERY_BLOCK``, each broadcast, and each block keeps its
+    best before the next."""
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    parts = [_search_block(nodes, queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i), k, digits, exclude_self) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search_block(nodes: DataFrame, queries: DataFrame, k: int, digits: int, exclude_self: bool) -> DataFrame:
     q = queries.select("question_id", F.col("embedding").alias("q"), V.norm(F.col("embedding")).alias("qn"))
     v = nodes.select("node_id", F.col("embedding").alias("v"), V.norm(F.col("embedding")).alias("vn"))
-    pairs = v.join(F.broadcast(q), F.col("node_id") != F.col("question_id")) if exclude_self else v.crossJoin(F.broadcast(q))
+    pairs = v.join(F.broadcast(q), F.col("node_id") != F.col("question_id") if exclude_self else F.lit(True))
     scores = pairs.select("question_id", "node_id", F.round(V.dot(F.col("v"), F.col("q")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), digits).alias("score"))
     return rank(scores.where("score is not null"), "question_id", k, F.desc("score"), "node_id")
 
@@ -219,7 +229,7 @@ def vector_ranking_quality(spark, d):
     """H2-H4: reciprocal rank, hit, recall, precision and nDCG, where a vector of the same label is relevant."""
     v = _vectors(spark, d)
     q = v.where("node_id % 100 = 0").select(F.col("node_id").alias("question_id"), F.col("label").alias("q_label"))
-    relevant = v.join(F.broadcast(q), (F.col("label") == F.col("q_label")) & (F.col("node_id") != F.col("question_id"))).select("question_id", "node_id")
+    relevant = v.join(bounded(q), (F.col("label") == F.col("q_label")) & (F.col("node_id") != F.col("question_id"))).select("question_id", "node_id")
     return ranking_quality(vector_search(v, _vector_queries(spark, d), k=10), relevant)
 
 

@@ -19,8 +19,9 @@ METADATA = ["filter", "verified", "uncertain", "human review", "review required"
 LISTING = ["show", "list", "find", "give", "which", "records", "pages"]
 UNCERTAIN = ["uncertain", "doubtful", "unverified"]
 REVIEW = ["human review", "review required"]
-CONTENT = (r"\b(about|mention(s|ed|ing)?|contains?|containing|with|related to|topics?|keywords?|ocr|transcription|guerra|frente|bolet[ií]n|censorship|"
-           r"intervenci[oó]n|rep[úu]blica|barrio|f[úu]tbol|m[úu]sica)\b")
+CONTENT_WORDS = ["about", "mention(s|ed|ing)?", "contains?", "containing", "with", "related to", "topic", "topics", "keyword", "keywords", "ocr", "transcription", "guerra", "frente", "bolet[ií]n",
+                 "censorship", "intervenci[oó]n", "rep[úu]blica", "barrio", "f[úu]tbol", "m[úu]sica"]
+CONTENT = r"\b(" + "|".join(CONTENT_WORDS) + r")\b"
 ALLOWED = {"verification_status": {"verified", "uncertain"}, "human_review_required": {"true", "false"}, "unit_type": {"page", "region"}, "source_type": None, "language": None,
            "document_id": None, "page_id": None}
 

@@ -11,7 +11,7 @@ from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators.archive import upsert_latest
 from foliant.plans.registry import Registry
-from foliant.plans.staging import scan
+from foliant.plans.staging import bounded, scan
 
 R = Registry()
 
@@ -136,7 +136,7 @@ def nearest_to_centroid(spark, d):
     """The three vectors nearest to the mean of their label."""
     e = scan(spark, d, "embeddings")
     c = centroids(e, "label", "embedding")
-    dist = e.join(F.broadcast(c), "label").select("vec_id", "label", F.round(V.euclidean(F.col("embedding"), F.col("center")), 5).alias("distance"))
+    dist = e.join(bounded(c, 10_000), "label").select("vec_id", "label", F.round(V.euclidean(F.col("embedding"), F.col("center")), 5).alias("distance"))
     return take_quota(dist, "label", 3, "distance", "vec_id")
 
 

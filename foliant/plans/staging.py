@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIR: dict[str, str] = {}
 
@@ -55,6 +56,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if have * 2 <= want else df
 
 
+def bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, which is counted; else as it is, for a join by exchange."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
