@@ -8,7 +8,7 @@ Registers are cut into bands; texts that share a band are compared exactly.
 
 Defined cases: null texts and texts under ``min_words`` words are no members of any pair; byte-equal texts are
 one text until the end (they are compared once and their keys are paired when rows are made); repeated rows count
-once; an empty table gives no rows; other columns of the input, whatever their names, are never read.
+once; an empty table gives no rows; rows of a null group are in no pair; other columns of the input, whatever their names, are never read.
 """
 
 from __future__ import annotations
