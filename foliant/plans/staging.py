@@ -50,7 +50,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy per-row work at least one partition a core.
 
-    A scan of a small file comes as one partition; only then is a round-robin exchange paid for."""
+    A scan of a small file comes as one partition; only then is a round-robin exchange paid for. A plan that already has
+    an exchange is left alone."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     have = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(want) if have * 2 <= want else df
