@@ -78,7 +78,7 @@ def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
     model = _language_model(spark, d)
     if model is None:
         return spark.createDataFrame([], "field_name string, item_key string, stretch_no int, start_pos int, end_pos int, lang string, confidence double, n_words int")
-    return langid.stretches(_labelled(spark, d).drop("labels").distinct(), ["field_name", "item_key"], "text", model)
+    return langid.stretches(_labelled(spark, d).drop("labels"), ["field_name", "item_key"], "text", model).distinct()
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
