@@ -3,7 +3,7 @@
 Sparse multinomial logistic regression on TF-IDF weighted character n-grams of words, trained by
 follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties, then calibrated by one temperature on
 held-out sentences. Training reads a bounded sample of labelled rows (``TRAIN_ROWS`` a language, the first in the
-order of a hash of the text); labels may be wrong in part: sentences the model contradicts after a first pass take no
+order of a hash of the text, of texts of 60 to ``TRAIN_CHARS`` characters); labels may be wrong in part: sentences the model contradicts after a first pass take no
 further part. Everything else covers every row.
 
 A sentence's score is the sum over its words, so words are scored once and kept, and a sentence that joins two
@@ -29,7 +29,7 @@ from foliant.llm._hashing import mix
 from foliant.plans.staging import spread
 
 LANGUAGES = ["es", "ca", "fr", "en", "it", "de"]
-MIN_WORDS, TRAIN_ROWS, BUCKETS, MAX_N = 6, 800, 1 << 17, 4
+MIN_WORDS, TRAIN_ROWS, TRAIN_CHARS, BUCKETS, MAX_N = 6, 800, 5000, 1 << 17, 4
 # Other notations of the languages.
 NOTATIONS = {
     "es": ["spa", "castellano", "español", "espanol", "spanish"], "ca": ["cat", "català", "catala", "catalán", "catalan", "valencià"],
@@ -291,7 +291,7 @@ def fit(df: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS) -> Model |
     """A model from at most ``rows`` labelled texts a language; ``label`` is a column of labels in any notation."""
     w = W.partitionBy("code").orderBy("h", "t")
     sample = df.select(F.col(text).alias("t"), language_code(F.col(label)).alias("code")) \
-        .where(F.col("code").isNotNull() & (F.length("t") >= 60)).withColumn("h", F.xxhash64("t")) \
+        .where(F.col("code").isNotNull() & F.length("t").between(60, TRAIN_CHARS)).withColumn("h", F.xxhash64("t")) \
         .withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("t", "code").collect()
     if not sample:
         return None

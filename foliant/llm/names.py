@@ -221,7 +221,7 @@ class Register:
                 return True
             if len(word) >= 5 and len(k) >= 5 and osa(word, k, 4) <= max(2, len(k) // 3):
                 return True
-            if dotted and len(word) >= 3 and osa(word, k[: len(word)], 1) <= 1:
+            if dotted and len(word) >= 3 and any(osa(word, k[:n], 1) <= 1 for n in range(len(word) - 1, len(word) + 2)):
                 return True
         return False
 

@@ -87,9 +87,14 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, *, shingle: int = 5
         .withColumn("h", F.xxhash64("g", "t"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[int] = set()  # texts this task has signed already: copies go on once a task
         for b in batches:
             for at in range(0, len(b), 1000):
                 p = b.iloc[at : at + 1000].drop_duplicates("h")
+                p = p[[x not in done for x in p["h"]]]
+                if len(done) > 500_000:
+                    done.clear()
+                done.update(p["h"])
                 values, owner, long = _sets(p["t"].tolist(), shingle, min_words)
                 if not long.any():
                     continue
