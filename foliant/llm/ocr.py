@@ -31,9 +31,11 @@ CONFUSIONS = [
     ("m", "rn"), ("g", "9"), ("b", "6"), ("v", "y"), ("ri", "n"), ("h", "b"), ("in", "m"), ("rn", "m"), ("í", "l"), ("i", "1"), ("z", "2"),
     ("l", "i"), ("li", "h"), ("w", "vv"), ("f", "t"), ("à", "á"), ("è", "é"), ("ü", "ii"), ("B", "8"),
 ]
-#: How many times more frequent the right word must be, how often it must occur, and the share of its occurrences (beyond
-#: two) one misreading may come to; for words of up to three letters, many of which are words themselves, a third of it.
+#: How many times more frequent the right word must be, how often it must occur, and the share of its occurrences (a third
+#: of it for words of up to three letters) beyond which a form of letters alone must stand where the right word stands.
 RATIO, LEAST, SHARE = 10, 5, 0.0025
+#: The part of a form's occurrences that must stand beside words the right word stands beside more often than the form.
+AGREED = 0.75
 #: Corrections are broadcast up to this many words; beyond it tokens are joined with them instead.
 MAX_BROADCAST = 500_000
 
@@ -169,11 +171,67 @@ def _anagram(word):
     return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, c: a + F.pow(F.ascii(c) % 1024, F.lit(5)).cast("long"))
 
 
-def corrections(words: DataFrame, names: DataFrame, ratio: int = RATIO, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def distinct_texts(df: DataFrame, text: str) -> DataFrame:
+    """(text): every text that isn't empty, once, so that copies of a text count for no more than the text."""
+    return stage(df.select(F.col(text).alias("text")).where(F.length("text") > 0).distinct(), "texts")
+
+
+def _beside(texts: DataFrame, text: str, doubtful: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, before, after, n) of the forms and (right, side, beside, n) of the right words of doubtful (word, right): how often
+    they stand between or beside which words. At an end of a text that word is ''."""
+    forms, rights = doubtful.select("word").distinct(), doubtful.select(F.col("right").alias("word")).distinct()
+    small = doubtful.count() <= MAX_BROADCAST
+    sent = texts.sparkSession.sparkContext.broadcast(({r.word for r in forms.collect()}, {r.word for r in rights.collect()}) if small else None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = sent.value
+        for b in batches:
+            seen: Counter[tuple[str, str | None, str | None]] = Counter()
+            for t in b["t"]:
+                row = ["", *_TOKEN.findall(without_divided(t, divided_words(t)).lower()), ""]
+                for i, w in enumerate(row[1:-1], 1):
+                    if known is None or w in known[0]:
+                        seen[w, row[i - 1], row[i + 1]] += 1
+                    if known is None or w in known[1]:
+                        seen[w, row[i - 1], None] += 1
+                        seen[w, None, row[i + 1]] += 1
+            if seen:
+                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["word", "before", "after", "n"])
+
+    src = spread(texts.select(F.col(text).alias("t")).where(F.length("t") > 0))
+    found = src.mapInPandas(run, "word string, before string, after string, n long").groupBy("word", "before", "after").agg(F.sum("n").alias("n"))
+    found = stage(found if small else found.join(forms.union(rights).distinct(), "word", "left_semi"), "beside")
+    between = found.where("before is not null and after is not null").join(forms, "word", "left_semi")
+    one_side = found.where("before is null or after is null").join(rights, "word", "left_semi")
+    return between, one_side.select(F.col("word").alias("right"), F.expr("if(after is null, 'before', 'after')").alias("side"), F.coalesce("before", "after").alias("beside"), "n")
+
+
+def _agreeing(doubtful: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """The rows of doubtful (word, right, n_right) whose form stands where its right word does: AGREED of its occurrences are
+    beside a word (for words of up to three letters: between two words) the right word is beside more often than the form,
+    or no two places differ from that."""
+    between, of_right = _beside(texts, text, doubtful)
+    at = doubtful.join(between, "word")
+    for side in ("before", "after"):
+        form = between.groupBy("word", side).agg(F.sum("n").alias("n_form"))
+        right = of_right.where(F.col("side") == side).select("right", F.col("beside").alias(side), F.col("n").alias("n_there"))
+        more = doubtful.select("word", "right").join(form, "word").join(right, ["right", side]).where("n_there > n_form").select("word", "right", side, F.lit(True).alias(f"in_{side}"))
+        at = at.join(more, ["word", "right", side], "left")
+    is_in = [F.coalesce(f"in_{side}", F.lit(False)) for side in ("before", "after")]
+    agrees = F.when(F.length("right") > 3, is_in[0] | is_in[1]).otherwise(is_in[0] & is_in[1])
+    judged = at.withColumn("agrees", agrees).groupBy("word", "right", "n_right") \
+        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("agrees"), F.col("n")).otherwise(0)).alias("n_agrees"), F.sum((~F.col("agrees")).cast("int")).alias("elsewhere"))
+    return judged.where((F.col("n_agrees") >= AGREED * F.col("n")) | (F.col("elsewhere") < 2)).select("word", "right", "n_right")
+
+
+def corrections(words: DataFrame, names: DataFrame, ratio: int = RATIO, least: int = LEAST, share: float = SHARE, texts: DataFrame | None = None,
+                text: str = "text") -> DataFrame:
     """(word, right, n_right): misread words and what they stand for.
 
     words: (word, n, n_low); names: (word) of names. The join is on anagram hashes, one row for each confusion, once or twice in
-    a word."""
+    a word. A form of letters alone may be a word itself: beyond ``share`` of its right word's occurrences it is a misreading
+    only if it stands in ``texts`` where the right word does; without ``texts`` it is none. All bounds are in proportion, so
+    the same corpus many times over has the same misreadings."""
     value = lambda s: sum((ord(c) % 1024) ** 5 for c in s)
     pairs = F.array(*[F.struct(F.lit(a).alias("seen"), F.lit(b).alias("misread"), F.lit(n * (value(b) - value(a))).cast("long").alias("delta")) for a, b in CONFUSIONS for n in (1, 2)])
     possible = F.filter(pairs, lambda p: F.contains(F.col("word"), p["misread"]))
@@ -186,8 +244,15 @@ def corrections(words: DataFrame, names: DataFrame, ratio: int = RATIO, least: i
     # one place, or all places of the letter
     spot = F.expr("replace(right, seen, misread) = word or exists(sequence(1, length(right)), i -> concat(substr(right, 1, i - 1), misread, substr(right, i + length(seen))) = word"
                   " and substr(right, i, length(seen)) = seen)")
-    most = 2 + F.col("n_right") * F.when(F.length("right") > 3, share).otherwise(share / 3)
-    found = rare.join(right, "at").where((F.col("n_right") >= ratio * F.col("n")) & (F.col("n") <= most) & (F.col("right") != F.col("word"))).where(spot)
+    most = F.col("n_right") * F.when(F.length("right") > 3, share).otherwise(share / 3)
+    found = rare.join(right, "at").where((F.col("n_right") >= ratio * F.col("n")) & (F.col("right") != F.col("word"))).where(spot)
+    sure = (F.col("n") <= most) | F.col("word").rlike(r"[^\p{L}·-]")
+    if texts is None:
+        found = found.where(sure)
+    else:
+        found = stage(found.select("word", "right", "n_right", sure.alias("sure")).distinct(), "candidates")
+        doubtful = found.where("not sure").select("word", "right", "n_right")
+        found = found.where("sure").select("word", "right", "n_right").unionByName(_agreeing(doubtful, texts, text))
     return found.groupBy("word").agg(F.min(F.struct((-F.col("n_right")).alias("m"), "right")).alias("b")) \
         .select("word", F.col("b.right").alias("right"), (-F.col("b.m")).alias("n_right"))
 

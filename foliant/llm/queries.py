@@ -95,11 +95,12 @@ _REGION = ["table_name", "page_id", "region_id"]
 
 def _defects(spark: SparkSession, d: str):
     regions = _scanned(spark, d)
-    words = stage(ocr.count_words(regions, "text"), "words")
+    texts = ocr.distinct_texts(regions, "text")
+    words = stage(ocr.count_words(texts, "text"), "words")
     mentions = scan(spark, d, "records").select(F.explode("entities.text").alias("t")) \
         .unionByName(scan(spark, d, "authority_names").select(F.col("full_name").alias("t"))).distinct()
     names = mentions.select(F.explode(F.expr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+([·-][\\p{L}\\p{N}]+)*', 0)")).alias("word"))
-    fixes = stage(ocr.corrections(words, names), "corrections")
+    fixes = stage(ocr.corrections(words, names, texts=texts), "corrections")
     stems, tails = ocr.header_stems(regions, "document_id", "text")
     return regions, ocr.find_defects(regions, _REGION, "text", words, fixes, stems, tails, "page_id"), stems, tails
 

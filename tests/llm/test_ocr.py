@@ -35,6 +35,18 @@ def test_corrections(spark):
     assert ocr.corrections(df.limit(0), names).count() == 0
 
 
+def test_frequent_misreadings_at_any_size(spark):
+    one = [f"el {w} canta en la {p} de la tarde" for w in ("sábado", "concierto") for p in ("plaza", "iglesia", "radio", "calle") for _ in range(25)]
+    one += ["el sábad0 canta en la plaza de la tarde", "el concierfo canta en la calle de la tarde", "el concierfo canta en la radio de la tarde"]
+    one += [f"voz: morgen {w} wir" for w in ("singen", "tanzen", "fahren")] + [f"un margen {w} aquí" for w in ("ancho", "largo", "fino") for _ in range(20)]
+    for times in (1, 10):
+        df = spark.createDataFrame([(t,) for t in one * times], "text string")
+        got = ocr.corrections(ocr.count_words(df, "text"), spark.createDataFrame([], "word string"), texts=df)
+        assert {r.word: r.right for r in got.collect()} == {"sábad0": "sábado", "concierfo": "concierto"}
+    copies = spark.createDataFrame([("a",), ("a",), ("b",), ("",), (None,)], "text string")
+    assert sorted(r.text for r in ocr.distinct_texts(copies, "text").collect()) == ["a", "b"]
+
+
 def regions(spark):
     body = "El coro de la parroquia ensaya el resultado del encuentro en la plaza mayor. "
     rows = [("d1", "d1_p0001", f"r{i}", body * 3) for i in range(30)]
