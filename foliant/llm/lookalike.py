@@ -24,8 +24,8 @@ from foliant.llm import _visual
 from foliant.plans.staging import spread, stage
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
-#: A class of byte-equal texts with more members is paired through its smallest id alone.
-EXPAND_LIMIT = 1000
+#: The pairs of two stored forms that one part of the join makes, about, and the most parts for two forms.
+PART_PAIRS, MAX_PARTS = 1_000_000, 1000
 
 
 _AMBIGUOUS = set(_visual.LOOKALIKE) | set(_visual.LOOKALIKE.values())
@@ -113,13 +113,20 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["k", "raw", "form", "odd"])
 
 
-def same_look_pairs(df: DataFrame, key: str, text: str, expand_limit: int = EXPAND_LIMIT) -> DataFrame:
-    """(``key``_a, ``key``_b), smaller first: texts that look the same and are stored differently."""
+def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(``key``_a, ``key``_b), smaller first: all texts that look the same and are stored differently.
+
+    Stored forms are paired first and then their members, so byte-equal texts are never compared: the work is in proportion
+    to the pairs. Where two forms make many pairs, the members of the more frequent one are spread over parts."""
     forms = consistent_form(df, key, text).where(F.col("form").isNotNull() & F.col("form").rlike(r"[^\s]")) \
         .select(F.col(key).alias("k"), "raw", F.md5("form").alias("f")).distinct()
-    variants = forms.groupBy("f", "raw").agg(F.count("*").alias("n"), F.min("k").alias("least"))
+    variants = forms.groupBy("f", "raw").agg(F.count("*").alias("n"))
     mixed = variants.groupBy("f").agg(F.count("*").alias("v")).where("v > 1").select("f")
-    rows = stage(forms.join(mixed, "f", "left_semi").join(variants, ["f", "raw"])
-                 .where((F.col("n") <= expand_limit) | (F.col("k") == F.col("least"))).select("f", "raw", "k"), "same-look")
-    return rows.alias("x").join(rows.alias("y"), F.expr("x.f = y.f and x.k < y.k and x.raw <> y.raw")) \
-        .select(F.col("x.k").alias(f"{key}_a"), F.col("y.k").alias(f"{key}_b")).distinct()
+    rows = stage(forms.join(mixed, "f", "left_semi").select("f", "raw", "k"), "same-look")
+    stored = rows.groupBy("f", "raw").agg(F.count("*").alias("n"))
+    two = stored.alias("x").join(stored.alias("y"), F.expr("x.f = y.f and (x.n > y.n or x.n = y.n and x.raw < y.raw)")) \
+        .select("x.f", F.col("x.raw").alias("raw_x"), F.col("y.raw").alias("raw_y"), F.expr(f"cast(least({MAX_PARTS}, 1 + x.n * y.n div {PART_PAIRS}) as int)").alias("parts"))
+    x = two.join(rows.select("f", F.col("raw").alias("raw_x"), F.col("k").alias("x")), ["f", "raw_x"]).withColumn("part", F.expr("cast(pmod(xxhash64(x), parts) as int)"))
+    y = two.join(rows.select("f", F.col("raw").alias("raw_y"), F.col("k").alias("y")), ["f", "raw_y"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    pairs = x.select("f", "raw_x", "raw_y", "part", "x").join(y.select("f", "raw_x", "raw_y", "part", "y"), ["f", "raw_x", "raw_y", "part"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()

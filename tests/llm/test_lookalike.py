@@ -34,6 +34,16 @@ def test_pairs_equal_brute_force(spark):
     assert lookalike.same_look_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_big_classes_come_out_whole(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "PART_PAIRS", 500, raising=False)
+    texts = ["la casa"] * 1200 + ["la  casa".replace("  ", "\u00a0")] + ["la cas\u0430", "la c\u0430sa"] * 2 + ["otro"]
+    df = spark.createDataFrame([(k * 7919 % 2003, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [tuple(x) for x in lookalike.same_look_pairs(df, "doc_id", "text").collect()]
+    docs = [(k, t) for k, t in ((r.doc_id, r.text) for r in df.collect()) if t != "otro"]
+    want = {(min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(docs, 2) if x != y}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_forms(spark):
     df = spark.createDataFrame([(1, "la casa"), (2, "lа саsа"), (3, None), (4, ""), (5, "Радио"), (6, "zzаzz"), (7, "x" * 200000 + "а")], "doc_id long, text string")
     got = {r.doc_id: r.form for r in lookalike.consistent_form(df, "doc_id", "text").collect()}
