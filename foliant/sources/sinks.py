@@ -41,9 +41,17 @@ def write_nodes(df: DataFrame, path: str, vector: str = "embedding") -> None:
     df.where(F.col(vector).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(64))).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def _whole(df: DataFrame, max_rows: int) -> list:
+    """All rows; a table of more than ``max_rows`` is refused rather than cut."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a report has at most {max_rows} rows; write a larger table with write_csv or write_records")
+    return rows
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """An aggregate of known small size as one JSON object a row [B5]."""
-    rows = [json.loads(r) for r in df.limit(100_000).toJSON().collect()]
+    """An aggregate of known small size as one JSON object a row [B5]; ValueError beyond 100,000 rows."""
+    rows = [json.loads(r[0]) for r in _whole(df.select(F.to_json(F.struct("*"))), 100_000)]
     tmp = path + ".tmp"
     with open(tmp, "w", encoding="utf-8") as f:
         json.dump(rows, f, ensure_ascii=False, indent=2)
@@ -56,8 +64,8 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def text_report(df: DataFrame, title: str) -> str:
-    """A plain text table of a small aggregate [B7]."""
-    rows = df.limit(10_000).collect()
+    """A plain text table of a small aggregate [B7]; ValueError beyond 10,000 rows."""
+    rows = _whole(df, 10_000)
     lines = [title, "-" * len(title), *["  ".join(f"{k}={r[k]}" for k in df.columns) for r in rows]]
     return "\n".join(lines) + "\n"
 

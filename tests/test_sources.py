@@ -47,6 +47,17 @@ def test_record_folder_and_writers(spark, tmp_path):
     assert spark.read.schema(RECORD).json(str(tmp_path / "corpus")).count() == 2
 
 
+def test_reports_are_whole_or_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        sinks.write_report(spark.range(100_001), str(tmp_path / "r.json"))
+    assert not (tmp_path / "r.json").exists()
+    sinks.write_report(spark.range(100_000), str(tmp_path / "r.json"))
+    assert len(json.loads((tmp_path / "r.json").read_text())) == 100_000
+    with pytest.raises(ValueError):
+        sinks.text_report(spark.range(10_001), "Ids")
+    assert sinks.text_report(spark.range(10_000), "Ids").count("id=") == 10_000
+
+
 def test_upsert_and_fingerprint(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "k string, v int, seq int")
