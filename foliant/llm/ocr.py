@@ -47,12 +47,13 @@ _WORD_FOR_PAGE = r"(?:p[áàa]g(?:ina)?|hoja|full|fol(?:io)?|page|seite|blatt|fo
 _NUMBER_LINE = re.compile(rf"^\s*(?:{_WORD_FOR_PAGE}\s*{_N}\.?|[-–—]\s*{_N}\s*[-–—]|[(\[]\s*{_N}\s*[)\]]|\.\s*{_N}\s*\.|\d{{1,4}})\s*$", re.I)
 _BEFORE_NUMBER = re.compile(rf"(?:^|(?<=\s))(?:(?P<word>{_WORD_FOR_PAGE[:-1]}\s+|p[áàa]g\.\s*)|(?P<dash>[-–—] )|(?P<open>[(\[])|(?P<dot>\. ))$", re.I)
 _AFTER_NUMBER = {"word": re.compile(r"(?!\S)"), "dash": re.compile(r" [-–—](?!\S)"), "open": re.compile(r"[)\]](?!\S)"), "dot": re.compile(r" \.(?!\S)")}
-_DIGITS = re.compile(r"\d{1,4}(?!\d)")
+_DIGITS = re.compile(r"(?<![^\W_])[\dlIO]{1,4}(?![^\W_]|['’])")
+_READ = str.maketrans("lIO", "110")
 _NUMBER_BARE = re.compile(r"^(\d{1,4}) (?=[«“¿¡(]*[A-ZÀ-Þ])|(?<=[.!?…]) (\d{1,4})$|(?<=[.!?…]) (\d{1,4})(?= [«“¿¡(]*[A-ZÀ-Þ])")
 _HEADER_LINE = re.compile(r"^\s*(\S+) +(\S+)(?: [—–|-] |[ \t]{2,})(\S.{2,60}?)\s*$")
 _SEPARATOR = re.compile(r"(?<=\S)(?: [—–|-] |[ \t]{2,})(?=\S)")
 _TWO_WORDS = re.compile(r"(\S+)[ \n]+(\S+)$")
-_MAY_MARK = re.compile(r" [—–|-] |[ \t]{2,}|\d|[(\[]")
+_MAY_MARK = re.compile(r" [—–|-] |[ \t]{2,}|\d|[(\[]|(?<![^\W_])[lIO]{1,4}(?![^\W_]|['’])")
 _PAGE_INDEX = re.compile(r"_p0*(\d+)$")
 
 
@@ -130,6 +131,8 @@ def strip_furniture(text: str, page_index: int | None, stems: set[tuple[str, str
             stop += more.end() if more else 0
             text = text[: two.start()].rstrip(" ") + " " + text[stop:].lstrip(" ")
     for m in reversed(list(_DIGITS.finditer(text))):
+        if not m[0].strip("I") and int(m[0].translate(_READ)) != page_index:  # a pronoun or a Roman number
+            continue
         place = _inline_number(text, m)
         if place is not None:
             number = True

@@ -16,6 +16,16 @@ def test_furniture():
         assert ocr.strip_furniture(plain, 3, STEMS, TAILS) == (plain, False, False)
 
 
+def test_misread_page_numbers():
+    for mark in ("- I2 -", "(l)", ". O .", "[l0]", "Pág. l", "— I —"):
+        s, _, n = ocr.strip_furniture(f"El coro canta en la plaza mayor {mark} todos los días.", 1, STEMS, TAILS)
+        assert n and " ".join(s.split()) == "El coro canta en la plaza mayor todos los días.", mark
+    for line in ("Pág. l", "- l -"):
+        assert ocr.strip_furniture(f"El coro canta\n{line}\nen la plaza.", 7, STEMS, TAILS) == ("El coro canta\nen la plaza.", False, True)
+    for plain in ("He said - I - that it rains.", "La parte (II) del programa.", "L'home i l'altre, O bé.", "folio"):
+        assert ocr.strip_furniture(plain, 7, STEMS, TAILS) == (plain, False, False)
+
+
 def test_divided_words():
     got = ocr.divided_words("el re-\nsultado y l'emis‐\n  sor, hig¬ iene, mi- \nentras Fizuix-Dolvirmuga pre- cio; 3-\nx")
     assert [(a, b) for _, _, a, b in got][:5] == [("re", "sultado"), ("emis", "sor"), ("hig", "iene"), ("mi", "entras"), ("pre", "cio")]
