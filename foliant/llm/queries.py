@@ -101,8 +101,8 @@ def _defects(spark: SparkSession, d: str):
         .unionByName(scan(spark, d, "authority_names").select(F.col("full_name").alias("t"))).distinct()
     names = mentions.select(F.explode(F.expr(r"regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+([·-][\\p{L}\\p{N}]+)*', 0)")).alias("word"))
     fixes = stage(ocr.corrections(words, names, texts=texts), "corrections")
-    stems, tails = ocr.header_stems(regions, "document_id", "text")
-    return regions, ocr.find_defects(regions, _REGION, "text", words, fixes, stems, tails, "page_id"), stems, tails
+    headers = ocr.header_blocks(stage(ocr.header_stems(regions, "document_id", "page_id", "text"), "headers"))
+    return regions, ocr.find_defects(regions, _REGION, "text", words, fixes, headers, "page_id"), headers
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,8 +112,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The regions' texts as continuous readable paragraphs."""
-    regions, defects, stems, tails = _defects(spark, d)
-    return ocr.repair(regions, _REGION, "text", stage(defects, "defects-found"), stems, tails, "page_id")
+    regions, defects, headers = _defects(spark, d)
+    return ocr.repair(regions, _REGION, "text", stage(defects, "defects-found"), headers, "page_id")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
