@@ -1,7 +1,7 @@
 """References to records that were not there at the time of the reference.
 
-A Bloom filter of all parent keys (records and deletions) proves most orphans without touching the parents; only
-references it lets through are checked exactly, by an as-of lookup of the last creation and the last deletion up
+A Bloom filter of all parent keys (records and deletions), broadcast or, beyond a size, partitioned by hash, proves most
+orphans without touching the parents; only references it lets through are checked exactly, by an as-of lookup of the last creation and the last deletion up
 to the reference. The lookup works in two levels, inside a day and over the days of a key, so that no task holds
 all events of a hot key: within a day they are spread by (key, day), over days a key has one row a day.
 
@@ -43,11 +43,9 @@ def find_orphans(refs: DataFrame, created: DataFrame, deleted: DataFrame, max_ke
     events = created.select("key", F.col("t").alias("c"), F.lit(None).cast("long").alias("d")) \
         .unionByName(deleted.select("key", F.lit(None).cast("long").alias("c"), F.col("t").alias("d"))) \
         .where("key is not null")
-    bits = bloom.build(events, "key", max_keys)
-    sure = None
-    if bits is not None:
-        sure = refs.where(~bloom.might_contain(refs, bits, "key")).withColumn("orphan_kind", F.lit("missing"))
-        refs = refs.where(bloom.might_contain(refs, bits, "key"))
+    marked = bloom.mark(refs, bloom.build(events, "key", max_keys), "key", "__maybe")
+    sure = marked.where("not __maybe").drop("__maybe").withColumn("orphan_kind", F.lit("missing"))
+    refs = marked.where("__maybe").drop("__maybe")
     day = lambda c: F.floor(c / F.lit(_DAY))
     events = events.where("c is not null or d is not null").withColumn("t", F.coalesce("c", "d")).withColumn("day", day(F.col("t"))) \
         .groupBy("key", "day", "t").agg(F.max("c").alias("c"), F.max("d").alias("d"))
@@ -67,7 +65,7 @@ def find_orphans(refs: DataFrame, created: DataFrame, deleted: DataFrame, max_ke
     kind = F.when(F.col("d").isNotNull() & (F.col("c").isNull() | (F.col("c") <= F.col("d"))), "deleted") \
         .when(~F.col("known"), "missing").when(F.col("c").isNull(), "late")
     checked = refs.join(state.withColumn("orphan_kind", kind).where("orphan_kind is not null").drop("c", "d", "known"), ["key", "t"])
-    return checked if sure is None else checked.unionByName(sure)
+    return checked.unionByName(sure)
 
 
 def _month(column: str) -> Column:

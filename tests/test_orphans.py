@@ -62,8 +62,19 @@ def test_times_with_offsets(spark):
 
 def test_filter_has_no_false_negative(spark):
     df = spark.range(5000).selectExpr("concat('k', id) as key")
-    bits = bloom.build(df, "key")
-    assert df.where(~bloom.might_contain(df, bits, "key")).count() == 0
-    others = spark.range(5000).selectExpr("concat('x', id) as key")
-    assert others.where(bloom.might_contain(others, bits, "key")).count() < 500
-    assert bloom.build(df.limit(0), "key") is None and bloom.build(df, "key", max_keys=10) is None
+    others = spark.range(5000).selectExpr("if(id = 7, null, concat('x', id)) as key", "id as maybe_not")
+    for limit in (bloom.MAX_KEYS, 10):  # broadcast, and partitioned by hash
+        found = bloom.build(df, "key", limit)
+        assert found.broadcast == (limit > 10)
+        assert bloom.mark(df, found, "key").where("not maybe").count() == 0
+        marked = bloom.mark(others, found, "key").cache()
+        assert marked.count() == 5000 and marked.where("maybe").count() < 500 and not marked.where("key is null").first().maybe
+    assert bloom.mark(others, bloom.build(df.limit(0), "key"), "key").where("maybe").count() == 0
+
+
+def test_the_filter_is_used_beyond_the_broadcast(spark):
+    refs, made, gone = frames(spark, [(f"x{i}", 5) for i in range(300)] + [("a", 5)], [("a", 9)] + [(f"k{i}", 1) for i in range(100)], [])
+    got = find_orphans(refs, made, gone, max_keys=10)
+    assert {(x.key, x.orphan_kind) for x in got.collect()} == {("a", "late")} | {(f"x{i}", "missing") for i in range(300)}
+    plan = got._jdf.queryExecution().toString()
+    assert "__maybe" in plan and "BroadcastHashJoin [__word" not in plan
