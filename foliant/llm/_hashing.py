@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -74,3 +76,17 @@ def distinct_by_owner(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     return values[keep], owner[keep]
+
+
+def slices(texts, characters: int = 4_000_000, rows: int = 2000) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of a batch with about so many characters, so that arrays over a part stay small whatever
+    the length of its texts; a longer text is a part of its own. Null texts have no length."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if i > start and (size + n > characters or i - start >= rows):
+            yield start, i
+            start, size = i, 0
+        size += n
+    if len(texts):
+        yield start, len(texts)

@@ -2,17 +2,18 @@
 
 A leak is a run of ``run`` words of an item inside a document. A window of ``run`` words is a small set of word
 shingles, and a document that holds it holds all of them; Jaccard, which MinHash sees, falls with the document's size.
-So documents are cut into overlapping blocks in which every run lies whole, blocks are partitioned by size, and each
-partition has the number of hash functions its upper bound needs for the wanted miss rate. Blocks that share a
-MinHash value with a window are verified by comparing the words.
+So documents and items are cut into overlapping blocks of one size, the window's: in this finest of size partitions
+containment is equality, one MinHash function finds every leak, and neighbouring blocks share their minimum, so a text
+has about a third as many signatures as words. Signatures of documents and items are joined, in one pass over the
+documents however many the items are; each carries the words around its shingle, which are compared exactly.
 
 Defined cases: null and empty texts and items under ``run`` words have no leak; words are read as a reader sees them
-(see ``_visual.seen_as``), without case; items with equal texts are each reported.
+(see ``_visual.seen_as``), without case; items with equal texts are each reported; repeated rows count once; an empty
+table gives no rows; other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import _visual
-from foliant.llm._hashing import mix, word_hashes
-from foliant.plans.staging import spread
+from foliant.llm._hashing import mix, slices, word_hashes
+from foliant.plans.staging import spread, stage
 
-RUN, SHINGLE, STRIDE, MISS = 16, 12, 8, 1e-5
-#: Items are broadcast in blocks of so many words; more items mean more passes, not a larger broadcast.
-ITEM_WORDS = 2_000_000
+RUN, SHINGLE = 16, 12
+#: Bits of the map that tells which signatures the items may have: of this size whatever the number of items.
+MAP_BITS = 1 << 26
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -35,16 +36,7 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(_visual.seen_as(text).casefold())
 
 
-def partitions(run: int, shingle: int, stride: int, miss: float) -> list[tuple[int, int]]:
-    """(largest number of shingles, hash functions) of each size partition of blocks."""
-    q, largest = run - shingle + 1, run + stride - shingle + 1
-    sizes = sorted({q, (q + largest) // 2, largest})
-    return [(u, 1 if u <= q else math.ceil(math.log(miss) / math.log(1 - q / u))) for u in sizes]
-
-
 def _rolling(hashes: np.ndarray, k: int) -> np.ndarray:
-    if len(hashes) < k:
-        return np.zeros(0, np.uint64)
     acc = np.zeros(len(hashes) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
@@ -52,116 +44,65 @@ def _rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(values, width).min(axis=1)
+def block_minima(hashes: np.ndarray, run: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place of its shingle) of the MinHash of every block of ``run`` words, once where neighbours share it."""
+    if len(hashes) < run:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rolled = _rolling(hashes, shingle)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(rolled, run - shingle + 1).argmin(axis=1) + np.arange(len(hashes) - run + 1))
+    return rolled[at], at
+
+
+def _signatures(df: DataFrame, key: str, text: str, run: int, shingle: int, wanted: np.ndarray | None) -> DataFrame:
+    """(key, sig, at, words): the minima of a text's blocks with the words in which a leak around the shingle lies and the place
+    of the shingle in them; only those ``wanted``, a map of bits, may have."""
+    sent = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
+    around = run - shingle
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo, hi in slices(b["t"]):
+                texts = [words_of(t) for t in b["t"].iloc[lo:hi]]
+                hashes, counts = word_hashes([" ".join(w) for w in texts])
+                out, start = [], 0
+                for k, words, n in zip(b["k"].iloc[lo:hi], texts, counts):
+                    sig, at = block_minima(hashes[start : start + n], run, shingle)
+                    start += n
+                    if sent is not None:
+                        bit = sig % np.uint64(len(sent.value) * 8)
+                        hit = (sent.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+                        sig, at = sig[hit == 1], at[hit == 1]
+                    for s, a in zip(sig.view(np.int64), at):
+                        first = max(0, a - around)
+                        out.append((k, s, a - first, words[first : a + run]))
+                if out:
+                    yield pd.DataFrame(out, columns=["k", "sig", "at", "words"])
+
+    src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= 2 * run - 1))
+    kind = df.schema[key].dataType.simpleString()
+    return src.mapInPandas(sign, f"k {kind}, sig long, at int, words array<string>")
 
 
-def _hashed(shingles: np.ndarray, j: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(shingles ^ (np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)))
-
-
-class Items:
-    """MinHash values of all windows of the items, and the words to verify with."""
-
-    def __init__(self, items: list[tuple[int, str]], run: int, shingle: int, stride: int, miss: float):
-        self.run, self.shingle, self.stride, self.q = run, shingle, stride, run - shingle + 1
-        self.parts = partitions(run, shingle, stride, miss)
-        self.words = [(i, words_of(t)) for i, t in items if t]
-        self.windows: dict[tuple[str, ...], list[int]] = {}
-        hashes, counts = word_hashes([" ".join(w) for _, w in self.words])
-        found: list[list[np.ndarray]] = [[] for _ in range(max(b for _, b in self.parts))]
-        at = 0
-        for (i, w), n in zip(self.words, counts):
-            for s in range(len(w) - run + 1):
-                ids = self.windows.setdefault(tuple(w[s : s + run]), [])
-                if not ids or ids[-1] != i:
-                    ids.append(i)
-            sh = _rolling(hashes[at : at + n], shingle)
-            at += n
-            if len(sh) >= self.q:
-                for j, store in enumerate(found):
-                    store.append(np.unique(_sliding_min(_hashed(sh, j), self.q)))
-        self.keys = [np.unique(np.concatenate(f)) if f else np.zeros(0, np.uint64) for f in found]
-
-    def search(self, texts: list[str]) -> list[set[int]]:
-        """The items each text leaks."""
-        docs = [words_of(t) for t in texts]
-        hashes, counts = word_hashes([" ".join(w) for w in docs])
-        hits: list[set[int]] = [set() for _ in texts]
-        starts = np.concatenate(([0], np.cumsum(counts)))
-        per_block = self.run + self.stride
-        sh_all, blocks = [], []
-        base = 0
-        for d, n in enumerate(counts):
-            if n < self.run:
-                continue
-            sh = _rolling(hashes[starts[d] : starts[d] + n], self.shingle)
-            sh_all.append(sh)
-            for a in range(0, max(1, n - self.run + 1), self.stride):
-                blocks.append((base + a, min(a + per_block, n) - a - self.shingle + 1, d, a))
-            base += len(sh)
-        if not blocks:
-            return hits
-        sh = np.concatenate(sh_all)
-        start, size, doc, word = (np.array(x) for x in zip(*blocks))
-        candidate = np.zeros(len(blocks), bool)
-        low = 0
-        for upper, functions in self.parts:
-            mine = np.flatnonzero((size > low) & (size <= upper))
-            low = upper
-            if not len(mine):
-                continue
-            grid = start[mine][:, None] + np.minimum(np.arange(upper)[None, :], size[mine][:, None] - 1)
-            for j in range(functions):
-                signature = _hashed(sh, j)[grid].min(axis=1)
-                keys = self.keys[j]
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, signature), len(keys) - 1)
-                    candidate[mine] |= keys[at] == signature
-        for b in np.flatnonzero(candidate):
-            w = docs[doc[b]]
-            for s in range(word[b], min(word[b] + self.stride, len(w) - self.run) + 1):
-                hits[doc[b]].update(self.windows.get(tuple(w[s : s + self.run]), ()))
-        return hits
+def _bit_map(signatures: DataFrame, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits (bytes) with those of all signatures set; merged in tasks, so only words of the map are sent."""
+    unsigned = F.expr(f"pmod(sig, {bits}L)")  # bits is a power of two, so this is the unsigned remainder too
+    words = signatures.select(unsigned.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out.view(np.uint8)
 
 
 def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, *, run: int = RUN,
-               shingle: int = SHINGLE, stride: int = STRIDE, miss: float = MISS, item_words: int = ITEM_WORDS) -> DataFrame:
+               shingle: int = SHINGLE, map_bits: int = MAP_BITS) -> DataFrame:
     """(key, item_key): documents that hold ``run`` consecutive words of an item.
 
-    The items are the query set: they are read in blocks of ``item_words`` words, each broadcast and searched for in
-    one pass over the documents; documents are never shuffled."""
-    spark = df.sparkSession
-    src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= 2 * run - 1))
-    schema = f"k {df.schema[key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}"
-
-    def passes() -> Iterator[list[tuple[int, str]]]:
-        block, n = [], 0
-        for row in items.select(item_key, item_text).where(F.col(item_text).isNotNull()).distinct().orderBy(item_key, item_text).toLocalIterator():
-            block.append((row[0], row[1]))
-            n += row[1].count(" ") + 1
-            if n > item_words:
-                yield block
-                block, n = [], 0
-        if block:
-            yield block
-
-    out = None
-    for block in passes():
-        sent = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Items(sent.value, run, shingle, stride, miss)
-            for b in batches:
-                for at in range(0, len(b), 500):
-                    p = b.iloc[at : at + 500]
-                    found = [(k, i) for k, hit in zip(p["k"], index.search(p["t"].tolist())) for i in hit]
-                    if found:
-                        yield pd.DataFrame(found, columns=["k", "item"])
-
-        one = src.mapInPandas(search, schema)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return out.distinct().select(F.col("k").alias(key), F.col("item").alias(item_key))
+    Documents are read once and never shuffled: only signatures the items may have leave a task, and only those are joined."""
+    if map_bits & (map_bits - 1) or map_bits < 64:
+        raise ValueError("map_bits must be a power of two, 64 or more")
+    wanted = stage(_signatures(items, item_key, item_text, run, shingle, None).distinct(), "leak-items")
+    found = _signatures(df, key, text, run, shingle, _bit_map(wanted, map_bits)).distinct()
+    both = found.alias("d").join(wanted.alias("i"), F.expr("d.sig = i.sig"))
+    # the shingle is at least at place `before` of the run; the run must lie whole in both texts' words
+    same = F.expr(f"""exists(sequence(0, {run - shingle}), before -> d.at >= before and i.at >= before and size(slice(d.words, d.at - before + 1, {run})) = {run}
+        and slice(d.words, d.at - before + 1, {run}) = slice(i.words, i.at - before + 1, {run}))""")
+    return both.where(same).select(F.col("d.k").alias(key), F.col("i.k").alias(item_key)).distinct()
