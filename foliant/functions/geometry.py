@@ -48,6 +48,12 @@ def polygon_bounds(p: Column) -> Column:
     return F.when(F.size(p) > 0, F.transform(corners, lambda v: v.cast("int"))).otherwise(F.array(*[F.lit(0)] * 4))
 
 
+def aspect_ratio(p: Column) -> Column:
+    """Width by height of a polygon's bounds; 1 without a height [G4]."""
+    b = polygon_bounds(p)
+    return F.when(b[3] - b[1] > 0, (b[2] - b[0]) / (b[3] - b[1])).otherwise(1.0)
+
+
 def shoelace_area(p: Column) -> Column:
     """Area of one polygon part, halved without remainder [G6]."""
     x, y = _at(p, 0), _at(p, 1)

@@ -157,3 +157,14 @@ def char_error_rate(truth: Column, guess: Column) -> Column:
     """Levenshtein distance in characters over the length of the truth [F16]."""
     d = F.levenshtein(F.coalesce(truth, F.lit("")), F.coalesce(guess, F.lit("")))
     return F.when(F.length(truth) > 0, d / F.length(truth)).otherwise(F.when(F.length(guess) > 0, 1.0).otherwise(0.0))
+
+
+def annotation_name(file_name: Column) -> Column:
+    """The name of an annotated image without its extension and the suffix that the annotation tool added [F11]."""
+    return F.regexp_replace(F.regexp_replace(file_name, r"(?<=.)\.[^./]*$", ""), r"_png\.rf\..+$", "")
+
+
+def archive_entry(source: Column, prefix: str = "data/raw/") -> Column:
+    """The name of a source in an archive: what follows the prefix, else its last two parts; always with forward slashes [F25]."""
+    path = F.regexp_replace(F.replace(source, F.lit("\\"), F.lit("/")), r"/\.?(?=/)", "")
+    return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 20)).otherwise(F.substring_index(path, "/", -2))

@@ -54,15 +54,42 @@ def csv(c) -> F.Column:
     return F.when(c.isNotNull(), F.concat_ws(",", c))
 
 
-def metadata_columns() -> list:
-    """The flat metadata of a record [C2]; a boolean becomes the text true or false."""
+def metadata_columns(df: DataFrame) -> list:
+    """The flat metadata of a record [C2]; a boolean becomes the text true or false, a field that ``df`` doesn't have is null, a
+    list of texts that it doesn't have is empty."""
+    def text(path: str):
+        at = df.schema
+        for part in path.split("."):
+            if not hasattr(at, "names") or part not in at.names:
+                return F.lit(None).cast("string")
+            at = at[part].dataType
+        return csv(F.col(path)) if at.typeName() == "array" else F.col(path)
+
+    def named(path: str, name: str | None = None):
+        return text(path).alias(name or path.split(".")[-1])
+
     review = F.col("forensic_flags.human_review_required")
-    return [F.col(c) for c in ("record_id", "document_id", "page_id", "region_id", "unit_type", "source_type", "title", "date_created")] + [
-        csv(F.col("language")).alias("language"), F.col("provenance.source_image_path").alias("source_image_path"),
-        F.col("ocr.confidence_score").alias("ocr_confidence_score"), F.col("forensic_flags.confidence_score").alias("forensic_confidence_score"),
-        F.col("forensic_flags.verification_status").alias("verification_status"), F.when(review, "true").when(~review, "false").alias("human_review_required"),
+    return [named(c) for c in ("record_id", "document_id", "page_id", "region_id", "unit_type", "source_type", "collection_id", "collection_name", "title", "date_created", "language", "creator", "contributors")] + [
+        named(f"archival_metadata.{c}") for c in ("repository", "institution", "fonds", "series", "call_number")] + [
+        named("physical_metadata.file_name"), named("provenance.source_image_path"), named("ocr.confidence_score", "ocr_confidence_score"), named("forensic_flags.confidence_score", "forensic_confidence_score"),
+        named("forensic_flags.verification_status"), named("forensic_flags.uncertainty_state"), F.when(review, "true").when(~review, "false").alias("human_review_required"),
         F.concat_ws(",", "forensic_flags.alerts").alias("alerts"), F.concat_ws(",", F.filter("entities.text", lambda v: v != "")).alias("entity_texts"),
-        F.concat_ws(",", F.filter("visual_marks.mark_type", lambda v: v != "")).alias("mark_types")]
+        F.concat_ws(",", F.filter("visual_marks.mark_type", lambda v: v != "")).alias("mark_types"), F.coalesce(text("ai_metadata.detected_topics"), F.lit("")).alias("topic_texts")]
+
+
+def archival_block(doc_id, collection_id: str, collection_name: str, fonds: str, series: str, institution: str, repository: str) -> list:
+    """The archival metadata of a document: what holds for the collection, its epoch and its call number [F8]."""
+    year = T.document_year(doc_id)
+    given = dict(collection_id=collection_id, collection_name=collection_name, fonds=fonds, series=series, institution=institution, repository=repository)
+    return [F.lit(v).alias(k) for k, v in given.items()] + [T.epoch(year).alias("epoch"), doc_id.alias("call_number")]
+
+
+def synthetic_text() -> F.Column:
+    """The retrieval text of generated records [C3]."""
+    listed = lambda c: F.coalesce(F.nullif(F.concat_ws(", ", c), F.lit("")), F.lit("none"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat(none("title"), F.lit(". "), none("summary.short_description"), F.lit(". OCR text: "), none("ocr.full_text"), F.lit(" Entities: "), listed("entities.text"),
+                    F.lit(". Detected marks: "), listed("visual_marks.mark_type"), F.lit("."))
 
 
 @R.add(f"WITH {LATEST} SELECT record_id, made, unit_type FROM (SELECT record_id, epoch_us(CAST(provenance.created_at AS TIMESTAMPTZ)) AS made, unit_type FROM latest)")
@@ -86,17 +113,29 @@ def retrieval_texts(spark, d):
     return latest_records(spark, d).select("record_id", retrieval_text().alias("retrieval_text"))
 
 
+_ABSENT = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in ("collection_id", "collection_name", "creator", "contributors", "repository", "institution", "fonds", "series", "call_number", "file_name", "uncertainty_state"))
+
+
 @R.add(f"""WITH {LATEST} SELECT record_id, document_id, page_id, region_id, unit_type, source_type, title, date_created,
     CASE WHEN language IS NOT NULL THEN coalesce(array_to_string(list_filter(language, lambda x: x IS NOT NULL), ','), '') END AS language,
-    provenance.source_image_path AS source_image_path, ocr.confidence_score AS ocr_confidence_score,
+    {_ABSENT}, '' AS topic_texts, provenance.source_image_path AS source_image_path, ocr.confidence_score AS ocr_confidence_score,
     forensic_flags.confidence_score AS forensic_confidence_score, forensic_flags.verification_status AS verification_status,
     CASE forensic_flags.human_review_required WHEN true THEN 'true' WHEN false THEN 'false' END AS human_review_required,
     coalesce(array_to_string(list_filter(forensic_flags.alerts, lambda x: x IS NOT NULL), ','), '') AS alerts,
     coalesce(array_to_string(list_filter(list_transform(entities, lambda e: e.text), lambda x: x <> ''), ','), '') AS entity_texts,
     coalesce(array_to_string(list_filter(list_transform(visual_marks, lambda e: e.mark_type), lambda x: x <> ''), ','), '') AS mark_types FROM latest""")
 def record_metadata(spark, d):
-    """The flat metadata of a record."""
-    return latest_records(spark, d).select(*metadata_columns())
+    """The flat metadata of a record, all 29 fields; those the table doesn't have are null."""
+    df = latest_records(spark, d)
+    return df.select(*metadata_columns(df))
+
+
+@R.add(f"""WITH {LATEST} SELECT record_id, coalesce(title, '') || '. ' || coalesce(summary.short_description, '') || '. OCR text: ' || coalesce(ocr.full_text, '') || ' Entities: ' ||
+    coalesce(nullif(array_to_string(list_filter(list_transform(entities, lambda e: e.text), lambda x: x IS NOT NULL), ', '), ''), 'none') || '. Detected marks: ' ||
+    coalesce(nullif(array_to_string(list_filter(list_transform(visual_marks, lambda e: e.mark_type), lambda x: x IS NOT NULL), ', '), ''), 'none') || '.' AS text FROM latest""")
+def synthetic_texts(spark, d):
+    """The text of generated records."""
+    return latest_records(spark, d).select("record_id", synthetic_text().alias("text"))
 
 
 _EPOCH_SQL = "CASE WHEN {0} >= 1924 AND {0} < 1931 THEN 'monarchy' WHEN {0} >= 1931 AND {0} < 1936 THEN 'republic' WHEN {0} >= 1936 AND {0} < 1939 THEN 'war' WHEN {0} >= 1939 AND {0} < 1954 THEN 'francoist' ELSE 'unknown' END"
@@ -117,6 +156,14 @@ def document_identifiers(spark, d):
         T.document_title(c).alias("title"), F.when(T.document_year(c).isNotNull(), T.document_date(c)).alias("date"))
 
 
+@R.add(f"""WITH {_PARSED} SELECT id, 'cc' AS collection_id, 'Costaclara' AS collection_name, 'Guiones' AS fonds, 'Emisiones' AS series, 'Archivo' AS institution, 'Depósito' AS repository,
+    {_EPOCH_SQL.format('year')} AS epoch, id AS call_number FROM parsed""")
+def archival_blocks(spark, d):
+    """F8: archival metadata of every document."""
+    ids = scan(spark, d, "harvest_index").select("id").distinct()
+    return ids.select("id", *archival_block(F.col("id"), "cc", "Costaclara", "Guiones", "Emisiones", "Archivo", "Depósito"))
+
+
 @R.add(f"""WITH {_PARSED}, e AS (SELECT {_EPOCH_SQL.format('year')} AS epoch FROM parsed)
     SELECT coalesce(epoch, '__all__') AS epoch, count(*) AS n_documents FROM e GROUP BY ROLLUP (epoch)""")
 def epoch_rollup(spark, d):
@@ -181,54 +228,86 @@ def marc_extract(spark, d):
     return h.select(xml.alias("xml")).select(*marc_record("xml")).distinct()
 
 
-def record_errors() -> F.Column:
-    """What is wrong with a record, as a list of messages [C18]."""
-    ff = F.col("forensic_flags")
-    score = lambda c: c.isNull() | ~c.between(0, 1)
+# The fields a record must have, on three levels.
+REQUIRED = ["schema_version", "record_id", "document_id", "unit_type", "source_type", "retrieval_text", "forensic_flags", "provenance"]
+REQUIRED_FORENSIC = ["confidence_score", "verification_status", "uncertainty_state"]
+REQUIRED_PROVENANCE = ["source_image_path"]
+
+
+def record_errors(df: DataFrame, version: str = "1.0") -> F.Column:
+    """What is wrong with a record, as a list of messages in the order of the rules [C18]. A field that ``df`` doesn't have, or that
+    is null, is missing."""
+    def value(path: str):
+        at = df.schema
+        for part in path.split("."):
+            if not hasattr(at, "names") or part not in at.names:
+                return F.lit(None)
+            at = at[part].dataType
+        return F.col(path)
+
+    has = lambda path: value(path).isNotNull()
+    one_of = lambda c, *values: F.coalesce(c.isin(*values), F.lit(False))
+    score = lambda c: F.coalesce(c.between(0, 1), F.lit(False))
+    missing = [F.when(~has(c), f"Missing top-level field: {c}") for c in REQUIRED]
+    missing += [F.when(~has(f"forensic_flags.{c}"), f"Missing forensic_flags field: {c}") for c in REQUIRED_FORENSIC]
+    missing += [F.when(~has(f"provenance.{c}"), f"Missing provenance field: {c}") for c in REQUIRED_PROVENANCE]
     return F.array_compact(F.array(
-        F.when(F.col("record_id").isNull() | F.col("document_id").isNull() | F.col("page_id").isNull(), "missing identifier"),
-        F.when(F.col("unit_type").isNull() | ~F.col("unit_type").isin("page", "region"), "unit_type must be page or region"),
-        F.when((F.col("unit_type") == "region") & F.col("region_id").isNull(), "region without region_id"),
-        F.when((F.col("unit_type") == "region") & (F.size("bbox") != 4), "region without bbox"),
-        F.when(F.coalesce(F.size("language"), F.lit(0)) <= 0, "no language"),
-        F.when(F.coalesce(F.length("ocr.full_text"), F.lit(0)) == 0, "no text"),
-        F.when(F.coalesce(F.length("title"), F.lit(0)) == 0, "no title"),
-        F.when(ff["verification_status"].isNull() | ~ff["verification_status"].isin("verified", "uncertain"), "verification_status invalid"),
-        F.when(score(ff["confidence_score"]), "forensic confidence_score must be between 0 and 1"),
-        F.when(score(F.col("ocr.confidence_score")), "ocr confidence_score must be between 0 and 1")))
-
-
-@R.add(f"""WITH {LATEST}, e AS (SELECT record_id, list_filter([
-    CASE WHEN record_id IS NULL OR document_id IS NULL OR page_id IS NULL THEN 'missing identifier' END,
-    CASE WHEN unit_type IS NULL OR unit_type NOT IN ('page', 'region') THEN 'unit_type must be page or region' END,
-    CASE WHEN unit_type = 'region' AND region_id IS NULL THEN 'region without region_id' END,
-    CASE WHEN unit_type = 'region' AND len(bbox) <> 4 THEN 'region without bbox' END,
-    CASE WHEN coalesce(len(language), 0) = 0 THEN 'no language' END, CASE WHEN coalesce(length(ocr.full_text), 0) = 0 THEN 'no text' END,
-    CASE WHEN coalesce(length(title), 0) = 0 THEN 'no title' END,
-    CASE WHEN forensic_flags.verification_status IS NULL OR forensic_flags.verification_status NOT IN ('verified', 'uncertain') THEN 'verification_status invalid' END,
-    CASE WHEN forensic_flags.confidence_score IS NULL OR NOT forensic_flags.confidence_score BETWEEN 0 AND 1 THEN 'forensic confidence_score must be between 0 and 1' END,
-    CASE WHEN ocr.confidence_score IS NULL OR NOT ocr.confidence_score BETWEEN 0 AND 1 THEN 'ocr confidence_score must be between 0 and 1' END],
-    lambda x: x IS NOT NULL) AS errors FROM latest)
-    SELECT record_id, array_to_string(errors, '; ') AS errors FROM e WHERE len(errors) > 0""")
-def record_validation(spark, d):
-    """Records that break a rule."""
-    bad = latest_records(spark, d).select("record_id", record_errors().alias("errors")).where(F.size("errors") > 0)
-    return bad.select("record_id", F.array_join("errors", "; ").alias("errors"))
+        *missing, F.when(~one_of(value("schema_version"), version), f"schema_version must be {version}"), F.when(~one_of(value("unit_type"), "page", "region"), "unit_type must be page or region"),
+        F.when(~one_of(value("forensic_flags.verification_status"), "verified", "uncertain"), "verification_status invalid"),
+        F.when(~score(value("forensic_flags.confidence_score")), "forensic confidence_score must be between 0 and 1"), F.when(~score(value("ocr.confidence_score")), "ocr confidence_score must be between 0 and 1")))
 
 
-@R.add(f"""WITH {LATEST}, s AS (SELECT record_id, round((ocr.confidence_score + coalesce(list_avg(list_transform(visual_marks, lambda m: m.confidence_score)), 0.9)) / 2, 6) AS score,
-    ocr.confidence_score AS o, visual_marks AS m FROM latest)
-    SELECT record_id, score, CASE WHEN score >= 0.8 THEN 'verified' ELSE 'uncertain' END AS verification_status,
-    concat_ws(',', CASE WHEN score < 0.8 OR score IS NULL THEN 'HUMAN_REVIEW_NEEDED' END, CASE WHEN o < 0.7 THEN 'LOW_OCR_CONFIDENCE' END,
-        CASE WHEN len(list_filter(m, lambda x: x.confidence_score < 0.6)) > 0 THEN 'LOW_VISUAL_CONFIDENCE' END) AS alerts FROM s""")
+_MISSING = ", ".join(f"CASE WHEN {c} IS NULL THEN 'Missing top-level field: {c}' END" for c in REQUIRED[1:])
+
+
+@R.add(f"""WITH {LATEST}, e AS (SELECT record_id, list_filter([{_MISSING},
+    CASE WHEN forensic_flags.confidence_score IS NULL THEN 'Missing forensic_flags field: confidence_score' END, CASE WHEN forensic_flags.verification_status IS NULL THEN 'Missing forensic_flags field: verification_status' END,
+    'Missing forensic_flags field: uncertainty_state', CASE WHEN provenance.source_image_path IS NULL THEN 'Missing provenance field: source_image_path' END,
+    CASE WHEN NOT coalesce(unit_type IN ('page', 'region'), false) THEN 'unit_type must be page or region' END,
+    CASE WHEN NOT coalesce(forensic_flags.verification_status IN ('verified', 'uncertain'), false) THEN 'verification_status invalid' END,
+    CASE WHEN NOT coalesce(forensic_flags.confidence_score BETWEEN 0 AND 1, false) THEN 'forensic confidence_score must be between 0 and 1' END,
+    CASE WHEN NOT coalesce(ocr.confidence_score BETWEEN 0 AND 1, false) THEN 'ocr confidence_score must be between 0 and 1' END], lambda x: x IS NOT NULL) AS errors FROM latest)
+    SELECT record_id, array_to_string(errors, '; ') AS errors FROM e WHERE len(errors) > 0""")
+def record_validation(spark, d):
+    """Records that break a rule; the table has no uncertainty_state, which every record is told."""
+    df = latest_records(spark, d).withColumn("schema_version", F.lit("1.0"))
+    return df.select("record_id", record_errors(df).alias("errors")).where(F.size("errors") > 0).select("record_id", F.array_join("errors", "; ").alias("errors"))
+
+
+def forensic_flags(text_confidence, marks, year, degraded) -> F.Column:
+    """The flags of a record from the confidence of its text and its marks (structs with confidence_score, mark_type, description),
+    its year and whether the page is degraded [C14, C19]; alerts in order, scores to two digits."""
+    scores = F.transform(marks, lambda m: m["confidence_score"])
+    mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda s, v: s + v) / F.size(scores)).otherwise(0.9)
+    average = F.round((text_confidence + mean) / 2 + 1e-9, 2)
+    average = F.when(degraded, F.round(F.greatest(F.lit(0.35), average - 0.12) + 1e-9, 2)).otherwise(average)
+    sure = F.coalesce(average >= 0.8, F.lit(False))
+    alerts = F.array_compact(F.array(
+        F.when(F.exists(marks, lambda m: F.contains(F.lower(F.coalesce(m["description"], F.lit(""))), F.lit("intervención"))), "FRANCOIST_ADMINISTRATIVE_MARK"),
+        F.when(~sure, "HUMAN_REVIEW_NEEDED"), F.when(text_confidence < 0.7, "LOW_OCR_CONFIDENCE"), F.when(F.exists(marks, lambda m: m["confidence_score"] < 0.6), "LOW_VISUAL_CONFIDENCE"),
+        F.when(year.between(1936, 1939) & F.exists(marks, lambda m: m["mark_type"].isin("censorship_stamp", "crossed_out_text")), "POLITICALLY_SENSITIVE_CONTENT")))
+    return F.struct(average.alias("confidence_score"), F.when(sure, "verified").otherwise("uncertain").alias("verification_status"),
+                    F.when(sure, "none").otherwise("pending_reconstruction").alias("uncertainty_state"), alerts.alias("alerts"), (~sure).alias("human_review_required"))
+
+
+_SCORED = r"""s0 AS (SELECT record_id, ocr.confidence_score AS o, coalesce(visual_marks, []) AS m, coalesce(contains(page_id, '_p0007'), false) AS degraded,
+        TRY_CAST(nullif(regexp_extract(document_id, 'a(\d{4})m(\d{1,2})(?:d(\d{1,2}))?', 1), '') AS INTEGER) AS year FROM latest),
+    s1 AS (SELECT *, round((o + coalesce(list_avg(list_transform(m, lambda x: x.confidence_score)), 0.9)) / 2 + 1e-9, 2) AS avg0 FROM s0),
+    s2 AS (SELECT *, CASE WHEN degraded THEN round(greatest(0.35, avg0 - 0.12) + 1e-9, 2) ELSE avg0 END AS score FROM s1)"""
+
+
+@R.add(f"""WITH {LATEST}, {_SCORED} SELECT record_id, score, CASE WHEN score >= 0.8 THEN 'verified' ELSE 'uncertain' END AS verification_status,
+    CASE WHEN score >= 0.8 THEN 'none' ELSE 'pending_reconstruction' END AS uncertainty_state, NOT coalesce(score >= 0.8, false) AS human_review_required,
+    concat_ws(',', CASE WHEN len(list_filter(m, lambda x: contains(lower(coalesce(x.description, '')), 'intervención'))) > 0 THEN 'FRANCOIST_ADMINISTRATIVE_MARK' END,
+        CASE WHEN score < 0.8 OR score IS NULL THEN 'HUMAN_REVIEW_NEEDED' END, CASE WHEN o < 0.7 THEN 'LOW_OCR_CONFIDENCE' END,
+        CASE WHEN len(list_filter(m, lambda x: x.confidence_score < 0.6)) > 0 THEN 'LOW_VISUAL_CONFIDENCE' END,
+        CASE WHEN year BETWEEN 1936 AND 1939 AND len(list_filter(m, lambda x: x.mark_type IN ('censorship_stamp', 'crossed_out_text'))) > 0 THEN 'POLITICALLY_SENSITIVE_CONTENT' END) AS alerts FROM s2""")
 def forensic_scores(spark, d):
-    """A record's score from its text and marks, and what it leads to."""
-    marks = F.col("visual_marks.confidence_score")
-    mean = F.when(F.size(marks) > 0, F.aggregate(marks, F.lit(0.0), lambda s, v: s + v) / F.size(marks)).otherwise(0.9)
-    df = latest_records(spark, d).select("record_id", F.round((F.col("ocr.confidence_score") + mean) / 2, 6).alias("score"), F.col("ocr.confidence_score").alias("o"), marks.alias("m"))
-    return df.select("record_id", "score", F.when(F.col("score") >= 0.8, "verified").otherwise("uncertain").alias("verification_status"), F.concat_ws(
-        ",", F.when((F.col("score") < 0.8) | F.col("score").isNull(), "HUMAN_REVIEW_NEEDED"), F.when(F.col("o") < 0.7, "LOW_OCR_CONFIDENCE"),
-        F.when(F.exists("m", lambda v: v < 0.6), "LOW_VISUAL_CONFIDENCE")).alias("alerts"))
+    """A record's flags from its text and marks; here the seventh pages are taken as degraded."""
+    df = latest_records(spark, d).withColumn("m", F.coalesce("visual_marks", F.array().cast(latest_records(spark, d).schema["visual_marks"].dataType)))
+    flags = forensic_flags(F.col("ocr.confidence_score"), F.col("m"), T.document_year(F.col("document_id")), F.coalesce(F.contains("page_id", F.lit("_p0007")), F.lit(False)))
+    df = df.select("record_id", flags.alias("f"))
+    return df.select("record_id", F.col("f.confidence_score").alias("score"), "f.verification_status", "f.uncertainty_state", "f.human_review_required", F.concat_ws(",", "f.alerts").alias("alerts"))
 
 
 @R.add(f"""WITH {LATEST} SELECT document_id, count(DISTINCT page_id) AS n_pages, array_to_string(list_sort(list(DISTINCT page_id)), ',') AS pages

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from foliant.functions import text as T
 from foliant.operators import archive, retrieval, router, spatial
 from foliant.plans.registry import Registry
-from foliant.plans.staging import scan
+from foliant.plans.staging import scan, stage
 from foliant.sources.sinks import write_nodes
 
 R = Registry()
@@ -38,7 +38,7 @@ def filter_columns(**wanted: str | None) -> list[Column]:
 
 def build(records: DataFrame, vectors: DataFrame | None, path: str) -> None:
     """The index of records: text and metadata of each, with its vector where there is one [B4, L4]."""
-    nodes = records.select(F.col("record_id").alias("node_id"), archive.retrieval_text().alias("text"), *archive.metadata_columns()[1:])
+    nodes = records.select(F.col("record_id").alias("node_id"), archive.retrieval_text().alias("text"), *archive.metadata_columns(records)[1:])
     nodes = nodes.join(vectors, "node_id", "left") if vectors is not None else nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
     write_nodes(nodes.withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>"))), path)
 
@@ -68,6 +68,19 @@ def plan(question: str, explicit: list[tuple[str, str, str]] = ()) -> router.Que
     return router.QueryPlan(row.m, [*explicit, *[(k, "eq", v) for k, v, _ in inferred]], confidence=1.0 if row.m != "vector" or inferred else None)
 
 
+def node_set(nodes: DataFrame, filters: list[tuple[str, str, str]], path: str) -> DataFrame:
+    """The nodes that pass filters, from ``path`` if they were written there for these filters, in whatever order [J13, F21]."""
+    import hashlib
+
+    at = f"{path}/{hashlib.md5(router.filters_key(filters).encode()).hexdigest()}"
+    try:
+        return nodes.sparkSession.read.parquet(at)
+    except Exception:  # not there or not readable: written again
+        wanted = [retrieval.contains(k, v) if op == "contains" else retrieval.equals(k, v) for k, op, v in filters]
+        nodes.where(retrieval.all_of(*wanted)).write.mode("overwrite").parquet(at)
+        return nodes.sparkSession.read.parquet(at)
+
+
 def query(nodes: DataFrame, question: str, vector: list[float] | None = None, config: Config = Config()) -> DataFrame:
     """What answers one question [J12, L4]: routed, filtered, retrieved, with metadata and rank."""
     p = plan(question)
@@ -89,6 +102,45 @@ def evaluate(rankings: dict[str, DataFrame], relevant: DataFrame, config: Config
     return reduce(DataFrame.unionByName, each).groupBy("mode").agg(F.avg("rr").alias("mrr"), *[F.avg(n).alias(n) for n in names])
 
 
+_REL = """rel AS (SELECT DISTINCT e.question_id, doc_id AS node_id FROM (SELECT question_id, string_split(r, '__')[1] AS doc FROM (SELECT question_id, unnest(expected_record_ids) AS r FROM eval_questions WHERE question IS NOT NULL) WHERE r <> '') e
+    JOIN documents ON documents.document_id = e.doc)"""
+_MODES = f"""{retrieval._HYBRID}, {router._ROUTED.replace("q AS (", "rq AS (").replace("FROM q)", "FROM rq)").replace("r AS (SELECT question_id, CASE", "rt AS (SELECT question_id, CASE")}, {_REL},
+    ways AS (SELECT 'vector' AS mode, question_id, node_id, rank FROM vec UNION ALL SELECT 'bm25', question_id, node_id, rank FROM lex WHERE rank <= 8 UNION ALL SELECT 'hybrid', question_id, node_id, rank FROM hyb
+        UNION ALL SELECT 'router', v.question_id, node_id, rank FROM vec v JOIN rt ON rt.question_id = v.question_id WHERE rt.mode = 'vector' AND score >= 0.45
+        UNION ALL SELECT 'router', h.question_id, node_id, rank FROM hyb h JOIN rt ON rt.question_id = h.question_id WHERE rt.mode <> 'vector'),
+    m AS (SELECT w.mode, rel.*, ways.rank FROM rel CROSS JOIN (VALUES ('vector'), ('bm25'), ('hybrid'), ('router')) w(mode) LEFT JOIN ways ON ways.mode = w.mode AND ways.question_id = rel.question_id AND ways.node_id = rel.node_id),
+    quality AS (SELECT mode, {retrieval._QUALITY} FROM m GROUP BY mode, question_id)"""
+
+
+def _rankings(spark, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Rankings of the questions by mode, their relevant documents, and (question_id, route)."""
+    vec, lex, _ = retrieval.hybrid(spark, d)
+    vec, lex = (stage(r.select("question_id", "node_id", "score", "rank"), "rankings") for r in (vec, lex))  # each is used by several modes
+    both = stage(retrieval.fuse(vec, lex), "rankings")
+    routes = retrieval.questions(spark, d).groupBy("question_id").agg(F.min("question").alias("q")).select("question_id", router.route(F.col("q")).alias("route"))
+    routed = vec.where(F.col("score") >= retrieval.CUTOFF).join(routes.where("route = 'vector'"), "question_id", "left_semi").unionByName(both.join(routes.where("route <> 'vector'"), "question_id", "left_semi"))
+    expected = scan(spark, d, "eval_questions").where("question is not null").select("question_id", F.explode("expected_record_ids").alias("r")).where("r <> ''").select("question_id", F.element_at(F.split("r", "__"), 1).alias("document_id"))
+    relevant = expected.distinct().join(scan(spark, d, "documents").select("document_id", F.col("doc_id").alias("node_id")), "document_id").select("question_id", "node_id").distinct()
+    return {"vector": vec, "bm25": lex.where(F.col("rank") <= retrieval.TOP_K), "hybrid": both, "router": routed}, relevant, routes
+
+
+@R.add(f"""WITH {_MODES} SELECT mode, count(*) AS n_questions, round(avg(rr), 5) AS mrr, {", ".join(f"round(avg(hit_{k}), 5) AS hit_{k}, round(avg(recall_{k}), 5) AS recall_{k}, round(avg(ndcg_{k}), 5) AS ndcg_{k}" for k in (1, 3, 5))} FROM quality GROUP BY mode""")
+def retrieval_ablation(spark, d):
+    """Mean quality of vector, bm25 and hybrid retrieval and of what the router chooses; documents of the expected records'
+    archive documents are relevant."""
+    rankings, relevant, _ = _rankings(spark, d)
+    each = [retrieval.ranking_quality(r, relevant, (1, 3, 5)).withColumn("mode", F.lit(m)) for m, r in rankings.items()]
+    return reduce(DataFrame.unionByName, each).groupBy("mode").agg(F.count("*").alias("n_questions"), F.round(F.avg("rr"), 5).alias("mrr"), *[F.round(F.avg(f"{m}_{k}"), 5).alias(f"{m}_{k}") for k in (1, 3, 5) for m in ("hit", "recall", "ndcg")])
+
+
+@R.add(f"WITH {_MODES} SELECT rt.mode AS route, count(*) AS n_questions, round(avg(hit_5), 5) AS hit_rate FROM quality JOIN rt ON rt.question_id = quality.question_id WHERE quality.mode = 'router' GROUP BY rt.mode")
+def route_hit_rates(spark, d):
+    """How often the router's choice finds a relevant document among the first five, by route."""
+    rankings, relevant, routes = _rankings(spark, d)
+    q = retrieval.ranking_quality(rankings["router"], relevant, (5,)).join(routes, "question_id")
+    return q.groupBy("route").agg(F.count("*").alias("n_questions"), F.round(F.avg("hit_5"), 5).alias("hit_rate"))
+
+
 @R.add("SELECT doc_id, source, CAST(instr(lower(text), 'crónica del domingo') AS INTEGER) AS place FROM documents WHERE contains(lower(text), 'crónica del domingo')")
 def phrase_lookup(spark, d):
     """Documents with an exact phrase, in any case, and where it begins."""

@@ -89,11 +89,12 @@ def curve_area(curve: DataFrame) -> DataFrame:
     return steps.agg(F.round(F.coalesce(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2), F.lit(0.0)), 6).alias("auc"))
 
 
-def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], threshold: float | None = 0.5) -> DataFrame:
     """One-to-one matching by score: each prediction takes the free truth of its group with the largest IoU [D5].
 
     preds: ``by``, pred_id, score, bbox; truths: ``by``, truth_id, bbox. Returns ``by``, pred_id, score, truth_id (null without a
-    match), iou. A group is what one page holds of one class, so it fits a task; ties go by id."""
+    match), iou. A group is what one page holds of one class, so it fits a task; ties go by id. Without a ``threshold`` the last
+    column of ``by`` is each group's own."""
     fields = ", ".join(f"`{c}` {preds.schema[c].dataType.simpleString()}" for c in by)
     schema = f"{fields}, pred_id {preds.schema['pred_id'].dataType.simpleString()}, score double, truth_id {truths.schema['truth_id'].dataType.simpleString()}, iou double"
 
@@ -101,7 +102,7 @@ def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], threshold:
         free = {i: np.asarray(b, float) for i, b in sorted(zip(t["truth_id"], t["bbox"]), key=lambda x: x[0])}
         rows = []
         for r in p.sort_values(["score", "pred_id"], ascending=[False, True]).itertuples():
-            b, best, won = np.asarray(r.bbox, float), threshold, None
+            b, best, won = np.asarray(r.bbox, float), key[-1] if threshold is None else threshold, None
             for i, g in free.items():
                 w = max(0.0, min(b[0] + b[2], g[0] + g[2]) - max(b[0], g[0]))
                 h = max(0.0, min(b[1] + b[3], g[1] + g[3]) - max(b[1], g[1]))
@@ -116,15 +117,42 @@ def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], threshold:
     return preds.select(*by, "pred_id", "score", "bbox").groupBy(*by).cogroup(truths.select(*by, "truth_id", "bbox").groupBy(*by)).applyInPandas(match, schema)
 
 
-def average_precision(scored: DataFrame, n_truths: DataFrame, by: str, order: list) -> DataFrame:
-    """All-point AP of ranked hits [H5, H6]. scored: ``by``, hit, order columns; n_truths: ``by``, n. Groups without a prediction have 0."""
-    run = W.partitionBy(by).orderBy(*order)
-    r = scored.withColumn("tp", F.sum(F.col("hit").cast("int")).over(run.rowsBetween(W.unboundedPreceding, 0))).withColumn("k", F.row_number().over(run)).join(n_truths, by)
-    r = r.withColumn("precision", F.col("tp") / F.col("k")).withColumn("recall", F.col("tp") / F.col("n"))
-    r = r.withColumn("envelope", F.max("precision").over(W.partitionBy(by).orderBy("k").rowsBetween(0, W.unboundedFollowing)))
-    r = r.withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(W.partitionBy(by).orderBy("k")), F.lit(0.0)))
-    ap = r.groupBy(by).agg(F.sum(F.col("step") * F.col("envelope")).alias("ap"))
-    return n_truths.join(ap, by, "left").select(by, F.round(F.coalesce("ap", F.lit(0.0)), 6).alias("ap"))
+def average_precision(scored: DataFrame, n_truths: DataFrame, by: str, score: str, order: list) -> DataFrame:
+    """All-point AP of ranked hits, best ``score`` first, ties by ``order`` [H5, H6]. scored: ``by``, hit, score, order columns;
+    n_truths: ``by``, n. Groups without a prediction have 0.
+
+    A group is cut into parts by thousandths of the score; ranks, hits and the envelope of precision are counted inside parts
+    and carried over them, so one class of any size is many tasks' work."""
+    part = -F.floor(F.col(score) * 1000)
+    inside = W.partitionBy(by, "__part").orderBy(F.desc(score), *order)
+    r = scored.withColumn("__part", part).withColumn("hit", F.col("hit").cast("long"))
+    r = r.withColumn("k", F.row_number().over(inside)).withColumn("tp", F.sum("hit").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    parts = scored.withColumn("__part", part).groupBy(by, "__part").agg(F.count("*").alias("k"), F.sum(F.col("hit").cast("long")).alias("tp"))
+    earlier = W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    carried = parts.select(by, "__part", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k0"), F.coalesce(F.sum("tp").over(earlier), F.lit(0)).alias("tp0"))
+    # precision falls between hits, so the envelope is made by hits alone, and only they add to the area
+    r = r.join(carried, [by, "__part"]).where("hit = 1").withColumn("precision", (F.col("tp") + F.col("tp0")) / (F.col("k") + F.col("k0")))
+    tops = r.groupBy(by, "__part").agg(F.max("precision").alias("top"))
+    later = tops.select(by, "__part", F.max("top").over(W.partitionBy(by).orderBy("__part").rowsBetween(1, W.unboundedFollowing)).alias("beyond"))
+    r = r.withColumn("rest", F.max("precision").over(W.partitionBy(by, "__part").orderBy("k").rowsBetween(0, W.unboundedFollowing))).join(later, [by, "__part"])
+    area = r.groupBy(by).agg(F.sum(F.greatest("rest", "beyond")).alias("area"))
+    return n_truths.join(area, by, "left").select(by, F.round(F.coalesce(F.col("area") / F.col("n"), F.lit(0.0)), 6).alias("ap"))
+
+
+def coco_map(preds: DataFrame, truths: DataFrame, group: str, kind: str) -> DataFrame:
+    """ap50, ap75 and map: average precision over the union of classes at IoU .50 to .95 by .05, averaged over classes and
+    thresholds [H7]. preds: ``group``, ``kind``, pred_id, score, bbox; truths: ``group``, ``kind``, truth_id, bbox. A class without
+    truths, or without predictions, counts as 0. All thresholds are matched in one pass: a threshold is part of the group."""
+    at = F.explode(F.array(*[F.lit(round(0.5 + 0.05 * i, 2)) for i in range(10)]))
+    p, t = preds.withColumn("iou_at", at), truths.withColumn("iou_at", at)
+    classes = preds.select(kind).union(truths.select(kind)).distinct()
+    every = classes.select(kind, at.alias("iou_at"))
+    n = every.join(t.groupBy(kind, "iou_at").agg(F.count("*").alias("n")), [kind, "iou_at"], "left").select(F.concat_ws(":", kind, "iou_at").alias("c"), "iou_at", F.coalesce("n", F.lit(0)).alias("n"))
+    m = greedy_match(p, t, [group, kind, "iou_at"], None).select(F.concat_ws(":", kind, "iou_at").alias("c"), "score", group, "pred_id", F.col("truth_id").isNotNull().alias("hit"))
+    ap = average_precision(m, n.where("n > 0").select("c", "n"), "c", "score", [F.col(group), F.col("pred_id")])
+    mean = n.join(ap, "c", "left").groupBy("iou_at").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    pick = lambda x: F.round(F.max(F.when(F.col("iou_at") == x, F.col("ap"))), 5)
+    return mean.agg(pick(0.5).alias("ap50"), pick(0.75).alias("ap75"), F.round(F.avg("ap"), 5).alias("map"))
 
 
 def fit_temperature(df: DataFrame, logits: str, label: str) -> DataFrame:
@@ -237,7 +265,7 @@ def average_precision_by_type(spark, d):
     """H5, H6: all-point average precision of each type."""
     df = _judged(spark, d)
     n = df.groupBy("event_type").agg(F.count_if("ok").alias("n")).where("n > 0")
-    return average_precision(df.withColumn("hit", F.col("ok")), n, "event_type", [F.desc("conf"), F.col("event_id")])
+    return average_precision(df.withColumn("hit", F.col("ok")), n, "event_type", "conf", [F.col("event_id")])
 
 
 @R.add()
@@ -250,16 +278,16 @@ def greedy_box_match(spark, d):
 
 @R.add()
 def detection_map(spark, d):
-    """H7: mean average precision over IoU thresholds .10 to .50, marks against regions, by type of mark."""
-    preds = mark_boxes(spark, d).select("page_id", F.col("mark_id").alias("pred_id"), F.col("conf").alias("score"), "bbox", "mark_type").dropDuplicates(["page_id", "pred_id"])
-    truths = text_boxes(spark, d).select("page_id", F.col("region_id").alias("truth_id"), "bbox")
-    n = truths.select(F.lit("all").alias("c"), F.lit(1).alias("x")).groupBy("c").agg(F.count("*").alias("n"))
-    out = None
-    for t in (0.10, 0.30, 0.50):
-        m = greedy_match(preds, truths, ["page_id"], t).select(F.lit("all").alias("c"), "score", "page_id", "pred_id", F.col("truth_id").isNotNull().alias("hit"))
-        ap = average_precision(m, n, "c", [F.desc("score"), F.col("page_id"), F.col("pred_id")]).select(F.lit(t).alias("threshold"), "ap")
-        out = ap if out is None else out.unionByName(ap)
-    return out
+    """H7: ap50, ap75 and map over .50 to .95 by layer: the viewer's regions, grown by a tenth, against the records' regions."""
+    from foliant.operators.layouts import expanded
+
+    layer = lambda c: F.substring(c, 1, 2)
+    views = scan(spark, d, "page_detail").select("page_id", F.explode(F.concat(F.coalesce("printed_regions", F.array().cast(scan(spark, d, "page_detail").schema["printed_regions"].dataType)),
+                                                                               F.coalesce("handwritten_regions", F.array().cast(scan(spark, d, "page_detail").schema["handwritten_regions"].dataType)))).alias("v"))
+    preds = views.where("v.region_id <> '' and size(v.bbox) = 4").select("page_id", layer("v.region_id").alias("kind"), F.col("v.region_id").alias("pred_id"), F.coalesce("v.confidence", F.lit(0.0)).alias("score"),
+                                                                        expanded(F.col("v.bbox"), 0.1, 2480, 3508).alias("bbox")).dropDuplicates(["page_id", "pred_id"])
+    truths = text_boxes(spark, d).select("page_id", layer("region_id").alias("kind"), F.col("region_id").alias("truth_id"), "bbox")
+    return coco_map(preds, truths, "page_id", "kind")
 
 
 _Z = "z AS (SELECT vec_id, label % 5 AS y, list_transform(embedding[1:5], lambda v: v::DOUBLE) AS z FROM embeddings), zz AS (SELECT *, list_max(z) AS m FROM z)"

@@ -29,23 +29,23 @@ def pair_by_stem(left: DataFrame, right: DataFrame, path: str, how: str = "inner
     return left.withColumn("stem", stem(path)).join(right.select(stem(path).alias("stem"), F.col(path).alias("other")), "stem", how)
 
 
-def scanline(df: DataFrame, polygon: str, y: str) -> DataFrame:
-    """``intervals``: [x from, x to] inside a polygon at height ``y`` by the even-odd rule, edges half open [G5]."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", intervals array<array<int>>"
+def scanline(parts: Column, y: Column) -> Column:
+    """[x from, x to] inside the parts of a polygon at height ``y`` by the even-odd rule over all parts, corners cut to integers,
+    edges half open; parts of under three corners and empty intervals are left out [G5]."""
+    def crossings(p: Column) -> Column:
+        n = F.floor(F.size(p) / 2).cast("int")
+        corner = lambda i, side: F.get(p, (i % n) * 2 + side).cast("int")
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for p, h in zip(b[polygon], b[y]):
-                pts, xs = list(zip(p[0::2], p[1::2])), []
-                for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1]):
-                    if (y1 <= h < y2) or (y2 <= h < y1):
-                        xs.append(x1 + (h - y1) * (x2 - x1) / (y2 - y1))
-                xs.sort()
-                out.append([[int(a), int(c)] for a, c in zip(xs[0::2], xs[1::2])])
-            yield b.assign(intervals=out)
+        def cross(i: Column) -> Column:
+            x1, y1, x2, y2 = corner(i, 0), corner(i, 1), corner(i + 1, 0), corner(i + 1, 1)
+            meets = ((y1 <= y) & (y < y2)) | ((y2 <= y) & (y < y1))
+            return F.when(meets, x1 + (y - y1) / F.nullif((y2 - y1).cast("double"), F.lit(0.0)) * (x2 - x1))
 
-    return df.mapInPandas(run, schema)
+        return F.when(n >= 3, F.array_compact(F.transform(F.sequence(F.lit(0), n - 1), cross))).otherwise(F.array().cast("array<double>"))
+
+    xs = F.array_sort(F.flatten(F.transform(F.coalesce(parts, F.array().cast("array<array<double>>")), lambda p: crossings(F.coalesce(p, F.array().cast("array<double>"))))))
+    pairs = F.when(F.size(xs) >= 2, F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1), lambda i: F.array(F.get(xs, i * 2).cast("int"), F.get(xs, i * 2 + 1).cast("int"))))
+    return F.filter(F.coalesce(pairs, F.array().cast("array<array<int>>")), lambda v: v[1] > v[0])
 
 
 def word_groups(tokens: DataFrame, by: str, pos: str, token: str, logprob: str, marker: str = "▁") -> DataFrame:
@@ -158,13 +158,17 @@ def placed_regions(spark, d):
     return free_places(text_boxes(spark, d), "page_id", "region_id", "bbox", 250, 0.4, 2480, 3508, "page_id string, region_id string")
 
 
-@R.add(f"WITH {LATEST}, {_TEXTS} SELECT page_id, region_id, tb[1] AS x0, tb[1] + tb[3] AS x1 FROM texts")
+@R.add(f"WITH {LATEST}, {_TEXTS} SELECT page_id, region_id, CASE WHEN tb[3] >= 4 THEN tb[1] ELSE NULL END AS x0, CASE WHEN tb[3] >= 4 THEN tb[1] + tb[3] // 4 ELSE NULL END AS x1, CASE WHEN tb[3] >= 4 THEN tb[1] + tb[3] - tb[3] // 4 ELSE NULL END AS x2, CASE WHEN tb[3] >= 4 THEN tb[1] + tb[3] ELSE NULL END AS x3 FROM texts")
 def polygon_scanlines(spark, d):
     """Where the middle line of a region crosses its outline."""
     b = F.col("bbox")
-    df = text_boxes(spark, d).select("page_id", "region_id", G.polygon_of_box(b).cast("array<double>").alias("p"), (b[1] + b[3] / 2.0).alias("y"))
-    i = F.col("intervals")
-    return scanline(df, "p", "y").select("page_id", "region_id", i[0][0].alias("x0"), i[0][1].alias("x1"))
+    df = text_boxes(spark, d).select("page_id", "region_id", G.polygon_of_box(b).cast("array<double>").alias("p"), (b[1] + F.floor(b[3] / 2)).alias("y"))
+    # the box with a hole of half its width: two intervals, by the even-odd rule over both parts
+    p, q = F.col("p"), F.floor((F.col("p")[2] - F.col("p")[0]) / 4).cast("double")
+    hole = F.array(p[0] + q, p[1], p[2] - q, p[1], p[2] - q, p[5], p[0] + q, p[5])
+    i = F.col("i")
+    found = df.select("page_id", "region_id", scanline(F.array(p, hole, F.array(p[0], p[1])), F.col("y")).alias("i"))
+    return found.select("page_id", "region_id", F.get(F.get(i, F.lit(0)), F.lit(0)).alias("x0"), F.get(F.get(i, F.lit(0)), F.lit(1)).alias("x1"), F.get(F.get(i, F.lit(1)), F.lit(0)).alias("x2"), F.get(F.get(i, F.lit(1)), F.lit(1)).alias("x3"))
 
 
 @R.add("WITH e AS (SELECT event_id, TRY_CAST(regexp_extract(props, '\\{[\\s\\S]*\\}', 0) AS JSON) AS j FROM events) SELECT event_id, json_extract_string(j, '$.' || (json_keys(j))[1]) AS value FROM e WHERE j IS NOT NULL AND len(json_keys(j)) > 0")

@@ -1,22 +1,26 @@
 """Retrieval: BM25, dense vectors, reciprocal rank fusion, metadata filters, and how good the rankings are.
 
 Corpora are DataFrames of (node_id, text, ...), questions DataFrames of (question_id, question); all questions are
-answered in one plan. Only postings of the questions' words are shuffled; the questions' side is broadcast by Spark
-where it is small."""
+answered together. Questions are the stated query set: they are sent to all tasks in blocks of a fixed size, nodes are never
+shuffled, and each task passes on its k best a question."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from foliant.functions import text as T
-from foliant.functions import vectors as V
 from foliant.operators.archive import LATEST, latest_records
 from foliant.plans.registry import Registry
-from foliant.plans.staging import bounded, scan
+from foliant.plans.staging import bounded, scan, spread
 
 R = Registry()
 K1, B, TOP_K, POOL, RRF_K, CUTOFF = 1.5, 0.75, 8, 50, 60, 0.45
@@ -44,41 +48,141 @@ def rank(df: DataFrame, by: str, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _trim(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each question, best first, ties by id."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    at = np.arange(len(q))
+    start = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], at, 0)) if len(q) else at
+    keep = at - start < k
+    return q[keep], ids[keep], s[keep]
+
+
+class _Best:
+    """The k best nodes of every question that a task has seen so far; never more than a few times questions x k are held."""
+
+    def __init__(self, k: int, digits: int):
+        self.k, self.scale, self.parts, self.n = k, 10.0**digits, [], 0
+
+    def add(self, scores: np.ndarray, first: int, ids: np.ndarray) -> None:
+        """scores: questions (from number ``first``) x nodes; what is NaN or -inf is no answer."""
+        scores = np.floor(np.where(np.isnan(scores), -np.inf, scores) * self.scale + 0.5) / self.scale
+        if scores.shape[1] > self.k:
+            mask = scores >= -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        else:
+            mask = np.ones(scores.shape, bool)
+        q, d = np.nonzero(mask & (scores > -np.inf))
+        self.parts.append(_trim(q + first, ids[d], scores[q, d], self.k))
+        self.n += len(self.parts[-1][0])
+        if len(self.parts) > 64:
+            self.parts = [_trim(*map(np.concatenate, zip(*self.parts)), self.k)]
+
+    def rows(self, names: np.ndarray) -> pd.DataFrame | None:
+        if not self.n:
+            return None
+        q, ids, s = _trim(*map(np.concatenate, zip(*self.parts)), self.k)
+        return pd.DataFrame({"question_id": names[q], "node_id": ids, "score": s})
+
+
+def _blocks(questions: DataFrame) -> list[DataFrame]:
+    """The stated query set in parts of about QUERY_BLOCK, each of which may be sent to all tasks."""
+    blocks = max(1, -(-questions.count() // QUERY_BLOCK))
+    return [questions] if blocks == 1 else [questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
+def _types(nodes: DataFrame, questions: DataFrame) -> str:
+    return f"question_id {questions.schema['question_id'].dataType.simpleString()}, node_id {nodes.schema['node_id'].dataType.simpleString()}, score double"
+
+
 def bm25(corpus: DataFrame, questions: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
     """(question_id, node_id, score, rank): scores above 0, best first, ties by node id [J1-J4].
 
-    Words of a question count as often as they occur. Statistics are those of ``corpus``: filter it first."""
+    Words of a question count as often as they occur. Statistics are those of ``corpus``: filter it first. The words of a block of
+    questions are counted in one aggregate; the documents are then scored against the block, a matrix product a batch, and each
+    task keeps its k best a question, so no posting is shuffled and a common word costs no more than a rare one."""
     docs = corpus.where(F.length("text") > 0).select("node_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
+    return reduce(DataFrame.unionByName, [_bm25_block(docs, q, k, k1, b, digits) for q in _blocks(questions)])
+
+
+def _bm25_block(docs: DataFrame, questions: DataFrame, k: int, k1: float, b: float, digits: int) -> DataFrame:
+    spark = docs.sparkSession
     asked = questions.select("question_id", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").distinct()
-    postings = docs.select("node_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(bounded(terms), "term", "left_semi") \
-        .groupBy("node_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # a term's weight in a document doesn't depend on the question: it is computed once a posting
-    weighted = postings.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "node_id", (
-        F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
-        / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("w"))
-    scores = weighted.join(asked, "term").groupBy("question_id", "node_id").agg(F.round(F.sum(F.col("w") * F.col("times")), digits).alias("score")).where("score > 0")
-    return rank(scores, "question_id", k, F.desc("score"), "node_id")
+    q = asked.toPandas().sort_values(["question_id", "term"], ignore_index=True)
+    n_docs, mean = docs.agg(F.count("*"), F.avg(F.size("w"))).first()
+    df = docs.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df")).toPandas()
+    known = df.sort_values("term", ignore_index=True)
+    idf = np.log(1 + (n_docs - known["df"].to_numpy(float) + 0.5) / (known["df"].to_numpy(float) + 0.5))
+    at = {t: i for i, t in enumerate(known["term"])}
+    q = q[q["term"].isin(at.keys())]
+    names, number = np.unique(q["question_id"].to_numpy(), return_inverse=True)
+    # (number of the question, term, times), in order of the questions
+    sent = spark.sparkContext.broadcast((names, number, np.array([at[t] for t in q["term"]], np.int64), q["times"].to_numpy(float), known["term"].tolist(), idf))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, number, term, times, terms, idf = sent.value
+        value_set, nt = pa.array(terms, pa.string()), len(terms)
+        best = _Best(k, digits)
+        parts = []
+        for first in range(0, len(names), 1000):  # questions whose words make one dense matrix
+            mine = (number >= first) & (number < first + 1000)
+            used, column = np.unique(term[mine], return_inverse=True)
+            dense = np.zeros((min(1000, len(names) - first), len(used)))
+            dense[number[mine] - first, column] = times[mine]
+            parts.append((first, used, dense))
+        for batch in batches if nt else ():
+            ids, words = batch.column(0).to_pandas().to_numpy(), batch.column(1)
+            length = pc.list_value_length(words).to_numpy()
+            found = pc.fill_null(pc.index_in(words.flatten(), value_set=value_set), -1).to_numpy()
+            doc = np.repeat(np.arange(len(ids)), length)
+            step = max(1, 4_000_000 // nt)
+            ends = np.append(0, np.cumsum(length))
+            for lo in range(0, len(ids), step):
+                hi = min(lo + step, len(ids))
+                f, d = found[ends[lo] : ends[hi]], doc[ends[lo] : ends[hi]] - lo
+                tf = np.bincount(d[f >= 0] * nt + f[f >= 0], minlength=(hi - lo) * nt).reshape(hi - lo, nt).astype(float)
+                weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[lo:hi, None] / mean))
+                for at, used, dense in parts:
+                    got = dense @ weight[:, used].T
+                    got[got <= 0.5 / best.scale] = -np.inf
+                    best.add(got, at, ids[lo:hi])
+        rows = best.rows(names)
+        if rows is not None:
+            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
+
+    found = spread(docs).mapInArrow(score, _types(docs, questions))
+    return rank(found, "question_id", k, F.desc("score"), "node_id")
 
 
 def vector_search(nodes: DataFrame, queries: DataFrame, k: int = TOP_K, digits: int = 6, exclude_self: bool = True) -> DataFrame:
     """(question_id, node_id, score, rank) by cosine [J5]. nodes: (node_id, embedding); queries: (question_id, embedding), the
-    stated query set; it is compared with all nodes in blocks of ``QUERY_BLOCK``, each broadcast, and each block keeps its
-    best before the next."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = [_search_block(nodes, queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i), k, digits, exclude_self) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    stated query set; it is compared with all nodes in blocks of ``QUERY_BLOCK``, each broadcast: a matrix product a batch of
+    nodes, of which each task keeps its k best a question. Vectors without a length have no score."""
+    return reduce(DataFrame.unionByName, [_search_block(nodes, q, k, digits, exclude_self) for q in _blocks(queries)])
 
 
 def _search_block(nodes: DataFrame, queries: DataFrame, k: int, digits: int, exclude_self: bool) -> DataFrame:
-    q = queries.select("question_id", F.col("embedding").alias("q"), V.norm(F.col("embedding")).alias("qn"))
-    v = nodes.select("node_id", F.col("embedding").alias("v"), V.norm(F.col("embedding")).alias("vn"))
-    pairs = v.join(F.broadcast(q), F.col("node_id") != F.col("question_id") if exclude_self else F.lit(True))
-    scores = pairs.select("question_id", "node_id", F.round(V.dot(F.col("v"), F.col("q")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), digits).alias("score"))
-    return rank(scores.where("score is not null"), "question_id", k, F.desc("score"), "node_id")
+    q = queries.select("question_id", "embedding").where("embedding is not null").toPandas()
+    unit = lambda v: v / np.where((n := np.sqrt((v * v).sum(axis=1, keepdims=True))) > 0, n, np.nan)
+    sent = nodes.sparkSession.sparkContext.broadcast((q["question_id"].to_numpy(), unit(np.stack(q["embedding"]).astype(float)) if len(q) else np.zeros((0, 0))))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, wanted = sent.value
+        best = _Best(k, digits)
+        for b in batches if len(names) else ():
+            b = b[np.array([v is not None and len(v) == wanted.shape[1] for v in b["embedding"]], bool)]
+            for lo in range(0, len(b), 2000):
+                ids, v = b["node_id"].to_numpy()[lo : lo + 2000], unit(np.stack(b["embedding"].to_numpy()[lo : lo + 2000]).astype(float))
+                for first in range(0, len(names), 1000):
+                    got = wanted[first : first + 1000] @ v.T
+                    if exclude_self:
+                        got[names[first : first + 1000, None] == ids[None, :]] = np.nan
+                    best.add(got, first, ids)
+        rows = best.rows(names)
+        if rows is not None:
+            yield rows
+
+    found = spread(nodes.select("node_id", "embedding")).mapInPandas(score, _types(nodes, queries))
+    return rank(found, "question_id", k, F.desc("score"), "node_id")
 
 
 def fuse(*rankings: DataFrame, k: int = TOP_K, constant: int = RRF_K, digits: int = 9) -> DataFrame:
@@ -249,8 +353,8 @@ def _record_ablation(spark: SparkSession, d: str) -> dict[str, DataFrame]:
           UNION ALL SELECT 'regions', rel.*, rank FROM rel LEFT JOIN r USING (question_id, node_id)),
     q AS (SELECT mode, {_QUALITY} FROM m GROUP BY mode, question_id)
     SELECT mode, count(*) AS n_questions, round(avg(rr), 5) AS mrr, {", ".join(f"round(avg(hit_{k}), 5) AS hit_{k}, round(avg(recall_{k}), 5) AS recall_{k}, round(avg(ndcg_{k}), 5) AS ndcg_{k}" for k in (1, 3, 5, 10))} FROM q GROUP BY mode""")
-def retrieval_ablation(spark, d):
-    """Mean quality of retrieval over all records, pages and regions, against the questions' expected records."""
+def unit_type_ablation(spark, d):
+    """Mean quality of retrieval over all records, pages and regions, against the questions' expected records."""
     relevant = scan(spark, d, "eval_questions").select("question_id", F.explode("expected_record_ids").alias("node_id")).where("node_id <> ''").distinct()
     parts = [ranking_quality(r, relevant).withColumn("mode", F.lit(m)) for m, r in _record_ablation(spark, d).items()]
     return reduce(DataFrame.unionByName, parts).groupBy("mode").agg(
@@ -276,7 +380,8 @@ def provenance_line() -> Column:
 
 
 _HITS = f"""hits AS (SELECT q.question_id, q.rank, q.score, l.record_id, l.document_id, l.page_id, l.forensic_flags.verification_status AS verification_status,
-    l.forensic_flags.human_review_required AS review FROM r q JOIN latest l ON l.record_id = q.node_id WHERE q.rank <= 5)"""
+    l.forensic_flags.human_review_required AS review, l.forensic_flags.confidence_score AS flags_score, coalesce(array_to_string(list_filter(l.forensic_flags.alerts, lambda x: x IS NOT NULL), ','), '') AS alerts,
+    l.provenance.source_image_path AS path FROM r q JOIN latest l ON l.record_id = q.node_id WHERE q.rank <= 5)"""
 _LINES = """'[' || rank || '] score=' || printf('%.4f', score) || ' record_id=' || coalesce(record_id, 'None') || ' document_id=' || coalesce(document_id, 'None') || ' page_id=' || coalesce(page_id, 'None') ||
     ' verification_status=' || coalesce(verification_status, 'None')"""
 
@@ -284,7 +389,8 @@ _LINES = """'[' || rank || '] score=' || printf('%.4f', score) || ' record_id='
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     records = latest_records(spark, d)
     found = bm25(records.where("unit_type = 'region'").select(F.col("record_id").alias("node_id"), F.col("retrieval_text").alias("text")), questions(spark, d), k=5, digits=3)
-    meta = records.select("record_id", "document_id", "page_id", F.col("forensic_flags.verification_status").alias("verification_status"), F.col("forensic_flags.human_review_required").alias("review"))
+    meta = records.select("record_id", "document_id", "page_id", F.col("forensic_flags.verification_status").alias("verification_status"), F.col("forensic_flags.human_review_required").alias("review"),
+                          F.col("forensic_flags.confidence_score").alias("flags_score"), F.concat_ws(",", "forensic_flags.alerts").alias("alerts"), F.col("provenance.source_image_path").alias("path"))
     return found.join(meta, found["node_id"] == meta["record_id"])
 
 
@@ -297,17 +403,71 @@ def provenance_lines(spark, d):
     return _hits(spark, d).select("question_id", "rank", provenance_line().alias("line"))
 
 
-@R.add(f"""WITH {LATEST}, {_REGION_BM25}, {_HITS}, a AS (SELECT question_id, 'Provenance summary:' || chr(10) || string_agg({_LINES}, chr(10) ORDER BY rank) AS answer, bool_or(coalesce(review, false)) AS needs_human_review, count(*) AS n FROM hits GROUP BY question_id)
-    SELECT q.question_id, coalesce(answer, 'No provenance-bearing results were retrieved') AS answer, CASE WHEN n > 0 THEN 'high' ELSE 'low' END AS confidence,
-    coalesce(needs_human_review, false) AS needs_human_review, n IS NULL AS insufficient_evidence FROM (SELECT DISTINCT question_id FROM eval_questions WHERE question IS NOT NULL) q LEFT JOIN a USING (question_id)""")
+def metadata_line() -> Column:
+    """One record of a metadata lookup [C25]; missing values read None."""
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    return F.format_string("- record_id=%s, document_id=%s, page_id=%s, verification_status=%s, human_review_required=%s", none("record_id"), none("document_id"), none("page_id"), none("verification_status"), none("review"))
+
+
+def envelopes(found: DataFrame, asked: DataFrame, mode: str) -> DataFrame:
+    """The answer to each question with all that stands behind it [J12, J15, C23, C25]: answer, confidence, needs_human_review,
+    applied_filters, evidence_summary (nine fields of the first five sources), uncertainties, insufficient_evidence.
+
+    found: question_id, rank, score, record_id, document_id, page_id, verification_status, review, flags_score, alerts, path; asked:
+    question_id, question, applied_filters; mode: provenance_lookup or metadata_lookup."""
+    by_metadata = mode == "metadata_lookup"
+    none = lambda c: F.col(c).cast("string")
+    source = F.struct("score", "record_id", "document_id", "page_id", "verification_status", none("review").alias("human_review_required"), F.col("flags_score").alias("forensic_confidence_score"), "alerts", F.col("path").alias("source_image_path"))
+    in_order = F.array_sort(F.collect_list(F.struct("rank", (metadata_line() if by_metadata else provenance_line()).alias("line"), source.alias("source"))))
+    per = found.groupBy("question_id").agg(in_order.alias("l"), F.bool_or(F.coalesce("review", F.lit(False))).alias("review"))
+    rows = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    if by_metadata:
+        answer = F.concat(F.lit("Found "), F.size("l").cast("string"), F.lit(" matching records for: "), "question", F.lit("\n"), rows)
+        nothing, why = F.concat(F.lit("No records matched the requested metadata constraints for: "), "question"), "No records matched the metadata filters."
+    else:
+        answer, nothing, why = F.concat(F.lit("Provenance summary:\n"), rows), F.lit("No provenance-bearing results were retrieved"), "No provenance-bearing results were retrieved."
+    some = F.col("l").isNotNull()
+    return asked.join(per, "question_id", "left").select(
+        "question_id", F.when(some, answer).otherwise(nothing).alias("answer"), F.when(some, "high").otherwise("low").alias("confidence"), F.coalesce("review", F.lit(False)).alias("needs_human_review"), "applied_filters",
+        F.when(some, F.transform(F.slice("l", 1, 5), lambda x: x["source"])).alias("evidence_summary"), F.when(some, F.array().cast("array<string>")).otherwise(F.array(F.lit(why))).alias("uncertainties"), (~some).alias("insufficient_evidence"))
+
+
+def envelope_json(df: DataFrame) -> DataFrame:
+    """(question_id, envelope): envelopes as JSON, nulls kept."""
+    return df.select("question_id", F.to_json(F.struct(*[c for c in df.columns if c != "question_id"]), {"ignoreNullFields": "false"}).alias("envelope"))
+
+
+_SOURCES = """string_agg(concat_ws('|', printf('%.4f', score), record_id, document_id, page_id, coalesce(verification_status, '-'), coalesce(CAST(review AS VARCHAR), '-'), coalesce(printf('%.4f', flags_score), '-'), alerts, coalesce(path, '-')), '; ' ORDER BY rank)"""
+
+
+@R.add(f"""WITH {LATEST}, {_REGION_BM25}, {_HITS}, a AS (SELECT question_id, 'Provenance summary:' || chr(10) || string_agg({_LINES}, chr(10) ORDER BY rank) AS answer, bool_or(coalesce(review, false)) AS needs_human_review, {_SOURCES} AS evidence FROM hits GROUP BY question_id)
+    SELECT q.question_id, coalesce(answer, 'No provenance-bearing results were retrieved') AS answer, CASE WHEN evidence IS NOT NULL THEN 'high' ELSE 'low' END AS confidence,
+    coalesce(needs_human_review, false) AS needs_human_review, 'unit_type=region' AS applied_filters, coalesce(evidence, '') AS evidence, CASE WHEN evidence IS NULL THEN 'No provenance-bearing results were retrieved.' ELSE '' END AS uncertainties,
+    evidence IS NULL AS insufficient_evidence FROM (SELECT DISTINCT question_id FROM eval_questions WHERE question IS NOT NULL) q LEFT JOIN a USING (question_id)""")
 def answers(spark, d):
-    """Answer texts with confidence and whether a person must look at them."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", provenance_line().alias("line")))), lambda x: x["line"])
-    found = _hits(spark, d).groupBy("question_id").agg(F.concat(F.lit("Provenance summary:\n"), F.array_join(rows, "\n")).alias("answer"),
-                                                       F.bool_or(F.coalesce("review", F.lit(False))).alias("review"), F.count("*").alias("n"))
-    return questions(spark, d).select("question_id").distinct().join(found, "question_id", "left").select(
-        "question_id", F.coalesce("answer", F.lit("No provenance-bearing results were retrieved")).alias("answer"), F.when(F.col("n") > 0, "high").otherwise("low").alias("confidence"),
-        F.coalesce("review", F.lit(False)).alias("needs_human_review"), F.col("n").isNull().alias("insufficient_evidence"))
+    """Answer envelopes of a provenance lookup over regions."""
+    asked = questions(spark, d).groupBy("question_id").agg(F.min("question").alias("question")).withColumn("applied_filters", F.lit("unit_type=region"))
+    e = envelopes(_hits(spark, d), asked, "provenance_lookup")
+    dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    line = lambda x: F.concat_ws("|", F.format_string("%.4f", x["score"]), x["record_id"], x["document_id"], x["page_id"], dash(x["verification_status"]), dash(x["human_review_required"]),
+                                 F.when(x["forensic_confidence_score"].isNotNull(), F.format_string("%.4f", x["forensic_confidence_score"])).otherwise("-"), x["alerts"], dash(x["source_image_path"]))
+    return e.withColumn("evidence", F.coalesce(F.array_join(F.transform("evidence_summary", line), "; "), F.lit(""))).withColumn("uncertainties", F.array_join("uncertainties", "; ")).drop("evidence_summary")
+
+
+_LOOKED_UP = """f AS (SELECT record_id, document_id, page_id, forensic_flags.verification_status AS verification_status, forensic_flags.human_review_required AS review, row_number() OVER (ORDER BY record_id) AS rank FROM latest
+    WHERE unit_type = 'region' AND forensic_flags.verification_status = 'uncertain')"""
+
+
+@R.add(f"""WITH {LATEST}, {_LOOKED_UP}, t AS (SELECT * FROM f WHERE rank <= 8), a AS (SELECT 'Found ' || count(*) || ' matching records for: uncertain regions' || chr(10) || string_agg('- record_id=' || record_id || ', document_id=' || document_id || ', page_id=' || page_id ||
+    ', verification_status=' || verification_status || ', human_review_required=' || coalesce(CAST(review AS VARCHAR), 'None'), chr(10) ORDER BY rank) AS answer, count(*) AS n FROM t)
+    SELECT 1 AS question_id, answer, 'high' AS confidence, least(n, 5) AS n_sources FROM a UNION ALL SELECT 2, 'No records matched the requested metadata constraints for: nothing', 'low', 0""")
+def lookup_answers(spark, d):
+    """Answer envelopes of metadata lookups, one with records and one without."""
+    f = latest_records(spark, d).where((F.col("unit_type") == "region") & (F.col("forensic_flags.verification_status") == "uncertain")).orderBy("record_id").limit(TOP_K)
+    f = f.select(F.lit(1).alias("question_id"), F.row_number().over(W.orderBy("record_id")).alias("rank"), F.lit(1.0).alias("score"), "record_id", "document_id", "page_id", F.col("forensic_flags.verification_status").alias("verification_status"),
+                 F.col("forensic_flags.human_review_required").alias("review"), F.col("forensic_flags.confidence_score").alias("flags_score"), F.concat_ws(",", "forensic_flags.alerts").alias("alerts"), F.col("provenance.source_image_path").alias("path"))
+    asked = spark.createDataFrame([(1, "uncertain regions", "verification_status=uncertain"), (2, "nothing", "")], "question_id int, question string, applied_filters string")
+    return envelopes(f, asked, "metadata_lookup").select("question_id", "answer", "confidence", F.coalesce(F.size("evidence_summary"), F.lit(0)).cast("long").alias("n_sources"))
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -3,13 +3,14 @@ order or the partitioning of rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators.archive import upsert_latest
+from foliant.plans.ranks import place_in
 from foliant.plans.registry import Registry
 from foliant.plans.staging import bounded, scan
 
@@ -26,41 +27,59 @@ def seeded(seed: int, c) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")))
 
 
-def proportional_slots(df: DataFrame, by: str, total: int) -> DataFrame:
-    """(by, n, slots): slots in proportion to group sizes, one at least, put right by one in the order of size [I11, H12, I13]."""
+def proportional_slots(df: DataFrame, by: str, total: int, noise=None, noise_share: float = 0.1) -> DataFrame:
+    """(by, n, slots) of a sample of ``total`` rows over groups [I11, H12, I13].
+
+    The group ``noise`` (of rows in no cluster) has a place for each tenth of the total, no more than its rows; what remains is
+    shared by size, half to even, one at least, and put right by one in the order of slots, largest first; groups of one slot
+    give none away. The groups' counts, not their rows, are ordered in one task."""
     n = df.groupBy(by).agg(F.count("*").alias("n"))
+    is_noise = F.col(by).eqNullSafe(F.lit(noise)) if noise is not None else F.lit(False)
     w = W.partitionBy()
-    s = n.withColumn("slots", F.greatest(F.lit(1), F.floor(F.lit(total) * F.col("n") / F.sum("n").over(w)))).withColumn("left", F.lit(total) - F.sum("slots").over(w))
-    place = F.row_number().over(W.orderBy(F.desc("n"), by))
-    return s.withColumn("slots", F.col("slots") + F.when(place <= F.abs("left"), F.signum("left").cast("long")).otherwise(0)).select(by, "n", F.greatest("slots", F.lit(0)).alias("slots"))
+    n = n.withColumn("__noise", is_noise)
+    n = n.withColumn("left", F.lit(total) - F.coalesce(F.sum(F.when(F.col("__noise"), F.least("n", F.bround(F.lit(float(total)) * noise_share).cast("long")))).over(w), F.lit(0)))
+    share = F.bround(F.col("left") * (F.col("n") / F.sum(F.when(~F.col("__noise"), F.col("n"))).over(w))).cast("long")
+    s = n.withColumn("slots", F.when(F.col("__noise"), F.lit(total) - F.col("left")).otherwise(F.greatest(F.lit(1), share)))
+    s = s.withColumn("diff", F.col("left") - F.sum(F.when(~F.col("__noise"), F.col("slots")).otherwise(0)).over(w))
+    gives = ~F.col("__noise") & ((F.col("diff") > 0) | (F.col("slots") > 1))
+    place = F.when(gives, F.row_number().over(W.partitionBy(gives).orderBy(F.desc("slots"), by)))
+    return s.withColumn("place", place).select(by, "n", (F.col("slots") + F.when(F.col("place") <= F.abs("diff"), F.signum("diff").cast("long")).otherwise(0)).alias("slots"))
 
 
 def round_robin(df: DataFrame, by: str, order: list) -> DataFrame:
-    """``turn`` and ``pick``: groups take turns until all are used up [H11]."""
+    """``turn`` and ``pick``: groups take turns until all are used up [H11]. A turn holds one row a group, so turns are the parts
+    of the total order."""
     turned = df.withColumn("turn", F.row_number().over(W.partitionBy(by).orderBy(*order)))
-    return turned.withColumn("pick", F.row_number().over(W.orderBy("turn", by)))
+    return place_in(turned, [], F.col("turn"), [by], "pick")
 
 
-def prune(df: DataFrame, by: str, share: float, *order) -> DataFrame:
-    """Groups without the first ``share`` of their rows (half to even), one row at least kept [I14]."""
-    size = F.count("*").over(W.partitionBy(by))
-    gone = F.least(size - 1, F.bround(size * share).cast("long"))
-    return df.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order))).withColumn("gone", gone).where("place > gone").drop("gone")
+def prune(df: DataFrame, by: str, share: float, key: Column) -> DataFrame:
+    """Groups without the first ``share`` of their rows (half to even), one row at least kept [I14]. ``key`` is a text of hexadecimal
+    digits that orders the rows; its first two cut a hot group into parts."""
+    placed = place_in(df.withColumn("__key", key), [by], F.substring("__key", 1, 2), ["__key"]).drop("__key")
+    size = placed.groupBy(by).agg(F.count("*").alias("__size"))
+    gone = F.least(F.col("__size") - 1, F.bround(F.col("__size") * share).cast("long"))
+    return placed.join(size.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by"))).where(F.col("place") > gone).drop("__size", "__by")
 
 
 def rank_assets(assets: DataFrame, w: int, h: int, *, epoch: str | None = None, subtype: str | None = None, noise: bool = False, top: int = 15) -> DataFrame:
     """Assets that fit a box, best first [I5]: coverage of its width, closeness in shape, matching epoch and subtype.
 
-    assets: asset_id, w, h, epoch, subtype. Up to 1.15 times as wide and twice as high fit; ties by id."""
+    assets: asset_id, w, h, epoch, subtype, solidity. Up to 1.15 times as wide and twice as high fit; ties by id. Of noise with a
+    subtype only that subtype is asked; a solid asset is better on round ground. If none fits, all narrower ones, else all, are
+    given with score 0."""
     aspect = w / h if h > 0 else 1.0
+    pool = assets.where(F.col("subtype") == F.lit(subtype)) if noise and subtype is not None else assets
     score = F.lit(100.0) + (40 * F.least(F.lit(1.0), F.col("w") / w) if w > 0 else 0)
     if noise:
         score = score - F.least(F.lit(30.0), F.abs(F.lit(aspect) - F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(1.0)) * 15)
         if 0.8 < aspect < 1.2:
-            score = score + 10
+            score = score + F.when(F.coalesce("solidity", F.lit(1.0)) > 0.8, 10).otherwise(0)
     score = score + F.when(F.col("epoch") == F.lit(epoch), 40).otherwise(0) + F.when(F.col("subtype") == F.lit(subtype), 30).otherwise(0)
-    fits = assets.where(F.col("w").isNotNull() & F.col("h").isNotNull() & (F.col("w") <= w * 1.15) & (F.col("h") <= h * 2.0))
-    return fits.select("asset_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "asset_id").limit(top)
+    fits = F.coalesce((F.col("w") <= w * 1.15) & (F.col("h") <= h * 2.0), F.lit(False))
+    level = F.when(fits, 0).when(F.coalesce("w", F.lit(0)) < w, 1).otherwise(2)
+    best = pool.withColumn("level", level).withColumn("score", F.when(F.col("level") == 0, F.round(score, 6)).otherwise(0.0)).orderBy("level", F.desc("score"), "asset_id").limit(top)
+    return best.withColumn("least", F.min("level").over(W.partitionBy())).where("level = least").select("asset_id", "score")
 
 
 def weighted_choice(df: DataFrame, keys: list[str], weights: list[float], seed: int, key: str) -> DataFrame:
@@ -112,14 +131,19 @@ def seeded_sample(spark, d):
     return take_quota(scan(spark, d, "documents").select("doc_id", "lang"), "lang", 20, seeded(7, "doc_id"))
 
 
-_SLOTS = """n AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang), s AS (SELECT *, greatest(1, CAST(floor(200 * n / sum(n) OVER ()) AS BIGINT)) AS s0 FROM n),
-    l AS (SELECT *, 200 - sum(s0) OVER () AS left0, row_number() OVER (ORDER BY n DESC, lang) AS place FROM s), slots AS (SELECT lang, n, CAST(greatest(s0 + CASE WHEN place <= abs(left0) THEN sign(left0) ELSE 0 END, 0) AS BIGINT) AS slots FROM l)"""
+_SLOTS = """n AS (SELECT coalesce(lang, '-') AS lang, count(*) AS n FROM documents GROUP BY 1), l0 AS (SELECT *, lang = '-' AS noise FROM n),
+    l1 AS (SELECT *, 200 - coalesce(sum(CASE WHEN noise THEN least(n, 20) END) OVER (), 0) AS remaining, sum(CASE WHEN NOT noise THEN n END) OVER () AS clustered FROM l0),
+    l2 AS (SELECT *, CASE WHEN noise THEN 200 - remaining ELSE greatest(1, CAST(round_even(remaining * (n / clustered), 0) AS BIGINT)) END AS s0 FROM l1),
+    l3 AS (SELECT *, remaining - sum(CASE WHEN noise THEN 0 ELSE s0 END) OVER () AS diff FROM l2), l4 AS (SELECT *, NOT noise AND (diff > 0 OR s0 > 1) AS gives FROM l3),
+    l5 AS (SELECT *, row_number() OVER (PARTITION BY gives ORDER BY s0 DESC, lang) AS place FROM l4),
+    slots AS (SELECT lang, n, CAST(s0 + CASE WHEN gives AND place <= abs(diff) THEN sign(diff) ELSE 0 END AS BIGINT) AS slots FROM l5)"""
 
 
 @R.add(f"WITH {_SLOTS} SELECT * FROM slots")
 def proportional_sample_slots(spark, d):
-    """200 places by the sizes of labels."""
-    return proportional_slots(scan(spark, d, "documents").where("lang is not null"), "lang", 200)
+    """200 places by the sizes of labels; documents without a label are those in no cluster."""
+    df = scan(spark, d, "documents").select(F.coalesce("lang", F.lit("-")).alias("lang"))
+    return proportional_slots(df, "lang", 200, noise="-")
 
 
 _CENTER = """c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL), cv AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY label)"""
@@ -153,10 +177,10 @@ def class_preserving_prune(spark, d):
     return prune(scan(spark, d, "documents").where("source is not null").select("doc_id", "source"), "source", 0.4, seeded(3, "doc_id"))
 
 
-@R.add("SELECT p_partkey AS asset_id, round(100 + 40 * least(1.0::DOUBLE, p_size * 10 / 300.0::DOUBLE) - least(30, abs(300.0::DOUBLE / 120 - (p_size * 10.0::DOUBLE) / (p_size * 4)) * 15) + CASE WHEN p_brand = 'Brand#11' THEN 40 ELSE 0 END + CASE WHEN p_type LIKE 'ECONOMY%' THEN 30 ELSE 0 END, 6) AS score FROM part WHERE p_size * 10 <= 345 AND p_size * 4 <= 240 ORDER BY score DESC, asset_id LIMIT 15")
+@R.add("SELECT p_partkey AS asset_id, round(100 + 40 * least(1.0::DOUBLE, p_size * 10 / 300.0::DOUBLE) - least(30, abs(300.0::DOUBLE / 120 - (p_size * 10.0::DOUBLE) / (p_size * 4)) * 15) + CASE WHEN p_brand = 'Brand#11' THEN 40 ELSE 0 END + CASE WHEN p_type LIKE 'ECONOMY%' THEN 30 ELSE 0 END, 6) AS score FROM part WHERE p_type LIKE 'ECONOMY%' AND p_size * 10 <= 345 AND p_size * 4 <= 240 ORDER BY score DESC, asset_id LIMIT 15")
 def asset_ranking(spark, d):
     """I5, I6."""
-    a = scan(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_size") * 10).alias("w"), (F.col("p_size") * 4).alias("h"), F.col("p_brand").alias("epoch"), F.when(F.startswith("p_type", F.lit("ECONOMY")), "economy").alias("subtype"))
+    a = scan(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_size") * 10).alias("w"), (F.col("p_size") * 4).alias("h"), F.col("p_brand").alias("epoch"), F.when(F.startswith("p_type", F.lit("ECONOMY")), "economy").alias("subtype"), F.lit(0.9).alias("solidity"))
     return rank_assets(a, 300, 120, epoch="Brand#11", subtype="economy", noise=True)
 
 

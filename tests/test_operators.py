@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 from foliant.functions import geometry as G
 from foliant.functions import text as T
 from foliant.functions import vectors as V
-from foliant.operators import evaluation, layouts, neighbours, retrieval, router, sampling, spatial
+from foliant.operators import archive, evaluation, layouts, neighbours, retrieval, router, sampling, spatial
 from foliant.operators.summary import histogram
+from foliant.plans import ranks
 
 
 def one(spark, c, **cols):
@@ -109,10 +111,93 @@ def test_greedy_match_is_one_to_one(spark):
 def test_average_precision_with_a_miss_between_hits(spark):
     df = spark.createDataFrame([("c", 3, True), ("c", 2, False), ("c", 1, True)], "c string, s int, hit boolean")
     n = spark.createDataFrame([("c", 2), ("d", 1)], "c string, n long")
-    got = {r.c: r.ap for r in evaluation.average_precision(df, n, "c", [F.desc("s")]).collect()}
+    got = {r.c: r.ap for r in evaluation.average_precision(df, n, "c", "s", []).collect()}
     assert got["c"] == pytest.approx(0.5 + 0.5 * 2 / 3, abs=1e-6) and got["d"] == 0
 
 
+def test_average_precision_over_parts_equals_one_list(spark):
+    r = random.Random(5)
+    rows = [(c, i, r.choice([0.1, 0.10005, 0.5, r.random()]), r.random() < 0.3) for c in "ab" for i in range(300)]
+    n = {c: sum(x[3] for x in rows if x[0] == c) + 4 for c in "ab"}
+    got = {x.c: x.ap for x in evaluation.average_precision(spark.createDataFrame(rows, "c string, i int, s double, hit boolean"), spark.createDataFrame(list(n.items()), "c string, n long"), "c", "s", [F.col("i")]).collect()}
+    for c in "ab":
+        hits = [h for _, _, _, h in sorted((x for x in rows if x[0] == c), key=lambda x: (-x[2], x[1]))]
+        tp, precision = 0, []
+        for k, h in enumerate(hits, 1):
+            tp += h
+            precision.append(tp / k)
+        want = sum(max(precision[k:]) for k, h in enumerate(hits) if h) / n[c]
+        assert got[c] == pytest.approx(want, abs=1e-6)
+
+
+def test_coco_map(spark):
+    box = [0, 0, 100, 100]
+    preds = spark.createDataFrame([("p", "x", "a", 0.9, [0, 0, 100, 80]), ("p", "y", "b", 0.9, box)], "page string, kind string, pred_id string, score double, bbox array<int>")
+    truths = spark.createDataFrame([("p", "x", "t", box), ("p", "z", "u", box)], "page string, kind string, truth_id string, bbox array<int>")
+    got = evaluation.coco_map(preds, truths, "page", "kind").first()
+    # x is found up to .80, which is six or seven of ten thresholds (the denominator has 1e-9 more); y has no truth, z no prediction
+    assert got.ap50 == pytest.approx(1 / 3, abs=1e-5) and got.ap75 == got.ap50 and got.map == pytest.approx(0.6 / 3, abs=1e-5)
+    assert evaluation.coco_map(preds.limit(0), truths.limit(0), "page", "kind").first().map is None
+
+
+def test_places_in_parts(spark):
+    r = random.Random(1)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.randrange(1000)) for _ in range(500)]
+    got = ranks.place_in(spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(rows)], "g string, v int, i int"), ["g"], F.floor(F.col("v") / 100), ["v", "i"]).collect()
+    for g in ("hot", "b", None):
+        mine = sorted((x.v, x.i, x.place) for x in got if x.g == g)
+        assert [p for *_, p in mine] == list(range(1, len(mine) + 1))
+    assert len(got) == 500
+
+
+def test_bm25_and_vectors_equal_brute_force_with_ties(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 12)))) for i in range(60)]
+    docs += [(100 + i, docs[i % 3][1]) for i in range(40)] + [(500, None), (501, ""), (502, "...")]
+    asked = [(q, " ".join(r.choice(words + ["nowhere"]) for _ in range(r.randint(0, 5)))) for q in range(15)]
+    tokens = {i: t.split() for i, t in docs if t and t != "..."}
+    mean = sum(map(len, tokens.values())) / len(tokens)
+    want = set()
+    for q, text in asked:
+        scored = []
+        for i, w in tokens.items():
+            s = 0.0
+            for t in text.split():
+                df = sum(t in x for x in tokens.values())
+                tf = w.count(t)
+                s += math.log(1 + (len(tokens) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean)) if df else 0
+            if round(s, 6) > 0:
+                scored.append((-round(s, 6), i))
+        want |= {(q, i, n) for n, (_, i) in enumerate(sorted(scored)[:5], 1)}
+    corpus = spark.createDataFrame([(i, t, "x") for i, t in docs], "node_id long, text string, w string")
+    questions = spark.createDataFrame(asked, "question_id int, question string")
+    assert {(x.question_id, x.node_id, x["rank"]) for x in retrieval.bm25(corpus, questions, k=5).collect()} == want
+    assert retrieval.bm25(corpus.limit(0), questions).count() == 0 and retrieval.bm25(corpus, questions.limit(0)).count() == 0
+    nodes = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(30)] + [(90, None), (91, [0.0, 0.0])], "node_id int, embedding array<double>")
+    got = retrieval.vector_search(nodes, nodes.where("node_id = 3").withColumnRenamed("node_id", "question_id"), k=4).collect()
+    assert sorted((x["rank"], x.node_id, x.score) for x in got) == [(1, 1, 1.0), (2, 5, 1.0), (3, 7, 1.0), (4, 9, 1.0)]
+    assert retrieval.vector_search(nodes, nodes.limit(0).withColumnRenamed("node_id", "question_id")).count() == 0
+
+
+def test_flags_and_validation(spark):
+    df = spark.createDataFrame([(0.6, [("stamps", 0.5, "Sello de Intervención"), ("crossed_out_text", 0.9, None)], 1937, True), (0.9, [], 1950, False), (None, [], None, False)],
+                               "o double, m array<struct<mark_type: string, confidence_score: double, description: string>>, y int, d boolean")
+    a, b, c = [r.f for r in df.select(archive.forensic_flags(F.col("o"), F.col("m"), F.col("y"), F.col("d")).alias("f")).collect()]
+    assert a.confidence_score == 0.53 and a.alerts == ["FRANCOIST_ADMINISTRATIVE_MARK", "HUMAN_REVIEW_NEEDED", "LOW_OCR_CONFIDENCE", "LOW_VISUAL_CONFIDENCE", "POLITICALLY_SENSITIVE_CONTENT"]
+    assert b.verification_status == "verified" and b.uncertainty_state == "none" and b.alerts == [] and not b.human_review_required
+    assert c.verification_status == "uncertain" and c.human_review_required
+    bare = spark.createDataFrame([("r", "picture")], "record_id string, unit_type string")
+    errors = bare.select(archive.record_errors(bare).alias("e")).first().e
+    assert "Missing top-level field: schema_version" in errors and "Missing provenance field: source_image_path" in errors and "unit_type must be page or region" in errors and "Missing top-level field: record_id" not in errors
+    assert len(bare.select(*[c for c in archive.metadata_columns(bare.selectExpr("*", "cast(null as struct<human_review_required: boolean, alerts: array<string>>) forensic_flags", "cast(null as array<struct<text: string>>) entities", "cast(null as array<struct<mark_type: string>>) visual_marks"))[:19]]).columns) == 19
+
+
+def test_names_of_files(spark):
+    assert one(spark, T.archive_entry(F.col("s")), s=("string", "data\\raw\\1925\\a.pdf")) == "1925/a.pdf" and one(spark, T.archive_entry(F.col("s")), s=("string", "/x/y/1930/b.pdf")) == "1930/b.pdf"
+    assert one(spark, T.annotation_name(F.col("s")), s=("string", "page_7_png.rf.abc.jpg")) == "page_7"
+
+
 def test_bins_at_their_edges(spark):
     df = spark.createDataFrame([(0.3,), (1.0,), (0.0,), (1.5,), (None,)], "v double")
     got = {r.bin: r.n for r in histogram(df, "v").collect()}
@@ -143,7 +228,7 @@ def test_sampling(spark):
     df = spark.createDataFrame([(i, "a" if i < 7 else "b" if i < 9 else "c") for i in range(10)], "id int, g string")
     slots = {r.g: r.slots for r in sampling.proportional_slots(df, "g", 5).collect()}
     assert sum(slots.values()) == 5 and min(slots.values()) >= 1
-    kept = {r.g: r["count"] for r in sampling.prune(df, "g", 0.4, "id").groupBy("g").count().collect()}
+    kept = {r.g: r["count"] for r in sampling.prune(df, "g", 0.4, sampling.seeded(1, "id")).groupBy("g").count().collect()}
     assert kept == {"a": 4, "b": 1, "c": 1}
     assert [r.id for r in sampling.round_robin(df, "g", ["id"]).orderBy("pick").limit(4).collect()] == [0, 7, 9, 1]
 
@@ -162,9 +247,22 @@ def test_early_stop(spark):
     assert [r.stop for r in neighbours.early_stop(df, "step", "loss").orderBy("step").collect()] == [False] * 4 + [True, False]
 
 
+def test_assets_and_noise_places(spark):
+    a = spark.createDataFrame([(1, 100, 100, "e", "round", 0.9), (2, 100, 100, "e", "round", 0.5), (3, 100, 100, "e", "square", 0.9), (4, 500, 10, "e", "round", None), (5, None, 10, "e", "round", None)],
+                              "asset_id int, w int, h int, epoch string, subtype string, solidity double")
+    got = {r.asset_id: r.score for r in sampling.rank_assets(a, 100, 100, subtype="round", noise=True).collect()}
+    assert got == {1: 180.0, 2: 170.0}
+    # none fits: those that are narrower, else all
+    assert [r.asset_id for r in sampling.rank_assets(a, 110, 10).collect()] == [1, 2, 3, 5] and sampling.rank_assets(a.where("asset_id = 4"), 10, 1).first().score == 0
+    df = spark.createDataFrame([("-",)] * 50 + [("a",)] * 30 + [("b",)] * 19 + [("c",)], "g string")
+    assert {r.g: r.slots for r in sampling.proportional_slots(df, "g", 20, noise="-").collect()} == {"-": 2, "a": 10, "b": 7, "c": 1}
+
+
 def test_polygon_scanline_and_years(spark):
-    df = spark.createDataFrame([(1, [0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0], 5.0)], "id int, p array<double>, y double")
-    assert layouts.scanline(df, "p", "y").first().intervals == [[0, 10]]
+    square, hole = [0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0], [2.0, 2.0, 8.0, 2.0, 8.0, 8.0, 2.0, 8.0]
+    df = spark.createDataFrame([(1, [square], 5.0), (2, [square, hole, [1.0, 1.0]], 5.0), (3, [square], 10.0), (4, [], 1.0), (5, None, 1.0), (6, [[0.0, 0.0, 0.9, 0.0, 0.9, 9.0]], 4.0)], "id int, p array<array<double>>, y double")
+    got = {r.id: r.i for r in df.select("id", layouts.scanline(F.col("p"), F.col("y")).alias("i")).collect()}
+    assert got == {1: [[0, 10]], 2: [[0, 2], [8, 10]], 3: [], 4: [], 5: [], 6: []}
     assert layouts.year_ranges("1934") == [1934] and layouts.year_ranges("[(1934,1935),(1940,1941)]") == [1934, 1935, 1940, 1941]
     with pytest.raises(ValueError):
         layouts.year_ranges("x")
