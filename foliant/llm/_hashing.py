@@ -78,7 +78,7 @@ def distinct_by_owner(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray
     return values[keep], owner[keep]
 
 
-def slices(texts, characters: int = 4_000_000, rows: int = 2000) -> Iterator[tuple[int, int]]:
+def slices(texts, characters: int = 2_000_000, rows: int = 2000) -> Iterator[tuple[int, int]]:
     """(start, end) of parts of a batch with about so many characters, so that arrays over a part stay small whatever
     the length of its texts; a longer text is a part of its own. Null texts have no length."""
     start = size = 0

@@ -20,10 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm._hashing import slices
 from foliant.plans.staging import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE_SIZE = 500_000
+#: Characters that are encoded at once; a longer text alone.
+SLICE = 1_000_000
 
 # States: what the token that is being read is made of.
 _I, _LETTERS, _NUMBERS, _OTHER, _BLANKS, _SPACE, _ONE, _TWO = range(8)
@@ -240,8 +243,8 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, wit
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in sent.value.splitlines() if line.strip())}
         encoder = Encoder(ranks)
         for b in batches:
-            for at in range(0, len(b), 500):
-                p = b.iloc[at : at + 500]
+            for lo, hi in slices(b["t"], SLICE):
+                p = b.iloc[lo:hi]
                 ids, offsets = encoder([t if t is not None else "" for t in p["t"]])
                 out = pd.DataFrame({"k": p["k"].to_numpy(), "ids": ids})
                 if with_offsets:
@@ -253,6 +256,12 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, wit
     return out.withColumnRenamed("k", key)
 
 
-def decode(ids: list[int], ranks: dict[bytes, int]) -> str:
-    """The text of a list of ids."""
-    return b"".join(map({v: k for k, v in ranks.items()}.__getitem__, ids)).decode("utf-8", "replace")
+def inverse(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    """The bytes of each id."""
+    return {v: k for k, v in ranks.items()}
+
+
+def decode(ids: list[int], ranks: dict[bytes, int] | dict[int, bytes]) -> str:
+    """The text of a list of ids, by the vocabulary or, for many lists, its inverse."""
+    of = ranks if ids and ids[0] in ranks else inverse(ranks)
+    return b"".join(map(of.__getitem__, ids)).decode("utf-8", "replace")

@@ -78,3 +78,36 @@ def test_hashes_do_not_depend_on_place():
     assert list(c1) == [3, 0, 3] and w1[0] == w1[4] and w1[1] == w1[3] and w1[2] == w1[5]
     s, o = shingles(w1, c1, 3)
     assert list(o) == [0, 2] and s[0] != s[1]
+
+
+def brute_probability_jaccard(x, y):
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def test_weighted_signatures_estimate_probability_jaccard():
+    r = np.random.default_rng(2)
+    ids = r.integers(0, 1 << 62, 200).astype(np.uint64)
+    x = {int(i): float(w) for i, w in zip(ids[:150], r.integers(1, 9, 150))}
+    y = {int(i): float(w) for i, w in zip(ids[50:], r.integers(1, 9, 150))} | {int(i): x[int(i)] for i in ids[50:110]}
+    want = brute_probability_jaccard(x, y)
+    assert abs(near_dup.probability_jaccard(x, y) - want) < 1e-9 and near_dup.probability_jaccard(x, x) > 1 - 1e-9
+    values, weights = np.array([*x, *y], np.uint64), np.array([*x.values(), *y.values()])
+    s = near_dup.probminhash(values, np.repeat([0, 1], [len(x), len(y)]), 2, 4000, weights)
+    assert abs((s[0] == s[1]).mean() - want) < 0.03
+    # weights only scaled change nothing; without weights it is the plain Jaccard
+    t = near_dup.probminhash(values, np.repeat([0, 1], [len(x), len(y)]), 2, 400, weights * 3)
+    assert (t == near_dup.probminhash(values, np.repeat([0, 1], [len(x), len(y)]), 2, 400, weights)).all()
+    assert abs(brute_probability_jaccard(dict.fromkeys(x, 1), dict.fromkeys(y, 1)) - len(x.keys() & y.keys()) / len(x.keys() | y.keys())) < 1e-9
+
+
+def test_weighted_pairs_and_unusual_spaces(spark):
+    refrain = " ".join(f"r{i}" for i in range(8))
+    a = " ".join([refrain] * 30 + [f"a{i}" for i in range(30)])
+    b = " ".join([refrain] * 30 + [f"b{i}" for i in range(30)])
+    df = spark.createDataFrame([("a", a), ("b", b), ("c", " ".join(f"c{i}" for i in range(90)))], "key string, text string")
+    pairs = lambda **k: {(r.key_a, r.key_b) for r in near_dup.near_duplicate_pairs(df, "key", "text", shingle=3, threshold=0.6, **k).collect()}
+    assert pairs() == set() and pairs(weighted=True) == {("a", "b")}
+    # words parted by other than plain blanks are words; a leading line break is none
+    t = [f"x{i}" for i in range(40)]
+    df = spark.createDataFrame([("a", "\u00a0".join(t)), ("b", "\u2003".join(t)), ("c", "\n" + " ".join(t[:39])), ("d", "\n" + " ".join(t[:39]))], "key string, text string")
+    assert pairs(min_words=40) == {("a", "b")}
