@@ -2,8 +2,9 @@
 
 Invisible characters, special blanks and hyphens, wide forms, ligatures and loose accents are made plain by table.
 Look-alike letters are repaired per token, by script. Letters that look like no other decide which script is dominant,
-in a token or, where it has none, in its document; a token is rewritten in that script only if the result is a word of
-the corpus: a word that some document spells in one script, or that such tokens of two documents or more stand for.
+in a token or, where it has none, in its document (a token of ambiguous letters alone looks like a word of either
+script); a token is rewritten in that script only if the result is a word that some document of the corpus spells in
+one script.
 
 Defined cases: null texts have a null form and no pair; texts without a visible character have an empty form and no
 pair; byte-equal texts are no pair; control characters, carriage returns too, count as invisible.
@@ -11,6 +12,7 @@ pair; byte-equal texts are no pair; control characters, carriage returns too, co
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -55,37 +57,74 @@ def repair_of(token: str, document_script: str) -> str | None:
     return new if new != token and {_visual.script(c) for c in new} <= {target, ""} else None
 
 
-def consistent_form(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, raw, form): a hash of the stored text and the text in the one consistent form."""
-    src = stage(spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInPandas(_prepare, "k long, raw string, form string, odd array<string>"), "forms")
+_COLUMNS = "raw string, f string, form string, odd array<string>, words array<string>"
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen: set[str] = set()
-            for t in b["form"]:
-                seen.update(_TOKEN.findall(t))
-            pure = sorted(w for w in seen if not _visual.has_foreign(w) or len({_visual.script(c) for c in w} - {""}) == 1)
-            if pure:
-                yield pd.DataFrame({"w": pure})
 
+def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """k, raw and f (hashes of the stored text and of its plain form), the form itself and what its foreign tokens may stand for
+    only where there are such, and in the first row of a batch the words of one script that the task has not met before."""
+    md5 = lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()
+    met: set[str] = set()
+    for b in batches:
+        rows, new = [], set()
+        for k, t in zip(b["k"], b["t"]):
+            if t is None:
+                rows.append((k, None, None, None, [], []))
+                continue
+            form = _visual.plain(t)
+            tokens = set(_TOKEN.findall(form))
+            odd: set[str] = set()
+            if _visual.has_foreign(form):
+                main = dominant(form)
+                foreign = {w for w in tokens if _visual.has_foreign(w)}
+                odd.update(filter(None, (repair_of(w, main) for w in foreign)))
+                tokens -= {w for w in foreign if len({_visual.script(c) for c in w} - {""}) != 1}
+            new |= tokens - met
+            seen = form if form.strip() else None
+            rows.append((k, md5(t), md5(form) if seen is not None else None, form if odd else None, sorted(odd), []))
+        if len(met) > 1_000_000:  # only so that a task's memory stays bounded; words may be told twice
+            met.clear()
+        met |= new
+        out = pd.DataFrame(rows, columns=["k", "raw", "f", "form", "odd", "words"])
+        if len(out):
+            out.at[0, "words"] = sorted(new)
+        yield out
+
+
+def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for t, good in zip(b["form"], b["good"]):
+            allowed = set(good) if good is not None else set()
+            main = dominant(t) if allowed else ""
+            out.append(_TOKEN.sub(lambda m, a=allowed, s=main: _rewrite(m[0], s, a), t) if allowed else t)
+        yield b[["k", "raw"]].assign(form=out)
+
+
+def _prepared(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, str]:
+    """The staged table of ``_prepare``, the repaired forms (k, raw, form) of texts with foreign tokens, and the key's type."""
+    kind = df.schema[key].dataType.simpleString()
+    src = stage(spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInPandas(_prepare, f"k {kind}, {_COLUMNS}"), "forms")
     odd = src.where(F.size("odd") > 0)
     options = odd.select("k", F.explode("odd").alias("w")).distinct()
-    stands_for = options.groupBy("w").agg(F.count("*").alias("n"))
-    vocabulary = src.where("form is not null").select("form").mapInPandas(words, "w string").distinct()
-    good = stands_for.where("n > 1").select("w").unionByName(stands_for.where("n = 1").select("w").join(vocabulary, "w", "left_semi"))
-    known = options.join(good, "w", "left_semi").groupBy("k").agg(F.collect_set("w").alias("good"))
+    vocabulary = src.where(F.size("words") > 0).select(F.explode("words").alias("w"))
+    known = options.join(vocabulary, "w", "left_semi").groupBy("k").agg(F.collect_set("w").alias("good"))
+    return src, odd.select("k", "raw", "form").join(known, "k", "left").mapInPandas(_repair, f"k {kind}, raw string, form string"), kind
+
 
-    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def consistent_form(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, raw, form): a hash of the stored text and the text in the one consistent form."""
+    src, mended, kind = _prepared(df, key, text)
+
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for t, good in zip(b["form"], b["good"]):
-                allowed = set(good) if good is not None else set()
-                main = dominant(t) if allowed else ""
-                out.append(_TOKEN.sub(lambda m, a=allowed, s=main: _rewrite(m[0], s, a), t) if allowed else t)
-            yield pd.DataFrame({"k": b["k"], "raw": b["raw"], "form": out})
+            raw = [None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in b["t"]]
+            yield pd.DataFrame({"k": b["k"], "raw": raw, "form": [None if t is None else _visual.plain(t) for t in b["t"]]})
 
-    mended = odd.select("k", "raw", "form").join(known, "k", "left").mapInPandas(repair, "k long, raw string, form string")
-    return src.where(F.size("odd") <= 0).select("k", "raw", "form").unionByName(mended).withColumnRenamed("k", key)
+    every = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(plain, f"k {kind}, raw string, form string")
+    again = mended.select("k", "raw", F.col("form").alias("mended")).distinct()
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("k", "raw")]
+    return every.alias("x").join(again.alias("y"), same, "left").select(F.col("x.k").alias(key), F.col("x.raw").alias("raw"), F.coalesce("y.mended", "x.form").alias("form"))
 
 
 def _rewrite(token: str, document_script: str, allowed: set[str]) -> str:
@@ -95,31 +134,13 @@ def _rewrite(token: str, document_script: str, allowed: set[str]) -> str:
     return new if new in allowed else token
 
 
-def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
-
-    for b in batches:
-        rows = []
-        for k, t in zip(b["k"], b["t"]):
-            if t is None:
-                rows.append((k, None, None, []))
-                continue
-            form = _visual.plain(t)
-            odd: set[str] = set()
-            if _visual.has_foreign(form):
-                main = dominant(form)
-                odd.update(filter(None, (repair_of(t, main) for t in set(_TOKEN.findall(form)) if _visual.has_foreign(t))))
-            rows.append((k, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), form, sorted(odd)))
-        yield pd.DataFrame(rows, columns=["k", "raw", "form", "odd"])
-
-
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(``key``_a, ``key``_b), smaller first: all texts that look the same and are stored differently.
 
     Stored forms are paired first and then their members, so byte-equal texts are never compared: the work is in proportion
     to the pairs. Where two forms make many pairs, the members of the more frequent one are spread over parts."""
-    forms = consistent_form(df, key, text).where(F.col("form").isNotNull() & F.col("form").rlike(r"[^\s]")) \
-        .select(F.col(key).alias("k"), "raw", F.md5("form").alias("f")).distinct()
+    src, mended, _ = _prepared(df, key, text)
+    forms = src.where("f is not null and size(odd) <= 0").select("k", "raw", "f").unionByName(mended.select("k", "raw", F.md5("form").alias("f"))).distinct()
     variants = forms.groupBy("f", "raw").agg(F.count("*").alias("n"))
     mixed = variants.groupBy("f").agg(F.count("*").alias("v")).where("v > 1").select("f")
     rows = stage(forms.join(mixed, "f", "left_semi").select("f", "raw", "k"), "same-look")
