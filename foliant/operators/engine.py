@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from foliant.functions import text as T
 from foliant.operators import archive, retrieval, router, spatial
+from foliant.plans.ranks import place_in
 from foliant.plans.registry import Registry
 from foliant.plans.staging import scan, stage
 from foliant.sources.sinks import write_nodes
@@ -29,6 +30,10 @@ class Config:
     k1: float = retrieval.K1
     b: float = retrieval.B
     evaluation_ks: tuple[int, ...] = (1, 3, 5, 10)
+    router_confidence: float = 0.70
+    evidence: int = 5
+    collection: str = "records"
+    index_path: str = ""
 
 
 def filter_columns(**wanted: str | None) -> list[Column]:
@@ -141,6 +146,13 @@ def route_hit_rates(spark, d):
     return q.groupBy("route").agg(F.count("*").alias("n_questions"), F.round(F.avg("hit_5"), 5).alias("hit_rate"))
 
 
+@R.add(f"WITH {archive.LATEST} SELECT 'find the ' || lower(title) AS question, record_id, row_number() OVER (PARTITION BY lower(title) ORDER BY record_id) AS place FROM latest WHERE title <> ''")
+def title_questions(spark, d):
+    """A question for each title with the records expected, one a row and numbered, so that a common title is no long list."""
+    df = archive.latest_records(spark, d).where("title <> ''").select(F.concat(F.lit("find the "), F.lower("title")).alias("question"), "record_id")
+    return place_in(df, ["question"], F.substring("record_id", 1, 14), ["record_id"])
+
+
 @R.add("SELECT doc_id, source, CAST(instr(lower(text), 'crónica del domingo') AS INTEGER) AS place FROM documents WHERE contains(lower(text), 'crónica del domingo')")
 def phrase_lookup(spark, d):
     """Documents with an exact phrase, in any case, and where it begins."""

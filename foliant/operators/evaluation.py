@@ -318,6 +318,25 @@ def temperature_fit(spark, d):
     return fit_temperature(_logits(spark, d), "z", "y")
 
 
+_FIT = (f"{_Z}, g1 AS (SELECT (0.5 + 0.25 * i)::DOUBLE AS t FROM range(19) r(i)), s1 AS (SELECT t, round({_NLL}, 12) AS l FROM zz, g1 GROUP BY t), b1 AS (SELECT t AS t1 FROM s1 ORDER BY l, t LIMIT 1), "
+        f"g2 AS (SELECT greatest(0.001, t1 - 0.25 + 0.025 * i)::DOUBLE AS t FROM range(21) r(i), b1), s2 AS (SELECT t, round({_NLL}, 12) AS l FROM zz, g2 GROUP BY t), b2 AS (SELECT round(t, 6) AS t FROM s2 ORDER BY s2.l, s2.t LIMIT 1)")
+
+
+@R.add(f"WITH {_FIT}, ways AS (SELECT 'before' AS state, 1.0::DOUBLE AS t UNION ALL SELECT 'after', t FROM b2), e AS (SELECT state, y, list_transform(z, lambda v: exp((v - m) / t)) AS e FROM zz, ways), "
+       "c AS (SELECT state, list_max(e) / list_sum(e) AS conf, CAST(list_position(e, list_max(e)) - 1 = y AS INTEGER) AS ok FROM e), "
+       "g AS (SELECT state, least(14, CAST(floor(conf * 15) AS INTEGER)) AS bin, count(*) AS n, avg(conf) AS conf, avg(ok) AS acc FROM c GROUP BY ALL) SELECT state, CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(acc - conf)) / sum(n), 5) AS ece, round(sum(n * acc) / sum(n), 5) AS accuracy FROM g GROUP BY state")
+def temperature_calibration(spark, d):
+    """Expected calibration error over 15 bins before and after the fitted temperature."""
+    df = _logits(spark, d)
+    t = fit_temperature(df, "z", "y").first()["temperature"]
+    out = []
+    for state, x in (("before", 1.0), ("after", t)):
+        p = df.select("y", V.softmax(F.col("z"), x).alias("p")).select(F.array_max("p").alias("conf"), (V.argmax(F.col("p")) == F.col("y")).cast("int").alias("ok"))
+        out.append(p.select(F.lit(state).alias("state"), F.least(F.lit(14), F.floor(F.col("conf") * 15).cast("int")).alias("bin"), "conf", "ok"))
+    g = out[0].unionByName(out[1]).groupBy("state", "bin").agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), F.avg("ok").alias("acc"))
+    return g.groupBy("state").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n"), 5).alias("ece"), F.round(F.sum(F.col("n") * F.col("acc")) / F.sum("n"), 5).alias("accuracy"))
+
+
 @R.add()
 def transcription_errors(spark, d):
     """Character and word error rates of the transcription samples, as they are and normalised, by layer."""
