@@ -111,7 +111,7 @@ def _sets(texts: list[str], k: int, min_words: int, weighted: bool = False) -> t
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, *, shingle: int = 5, threshold: float = 0.8,
                          min_words: int = 5, bands: int = 57, rows: int = 5, group: str | None = None,
-                         expand_limit: int = EXPAND_LIMIT, weighted: bool = False) -> DataFrame:
+                         expand_limit: int = EXPAND_LIMIT, weighted: bool = False, with_kind: bool = False) -> DataFrame:
     """Pairs (``group``, key_a, key_b) of keys whose shingle sets overlap by ``threshold`` or more.
 
     Texts are compared only inside one ``group`` (a column of ``df``, or all rows). The default bands find a
@@ -119,7 +119,8 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, *, shingle: int = 5
     byte-equal texts are paired too; a class with more than ``expand_limit`` keys stands for its members through
     its smallest key (key_a) so that its rows stay linear in its size. ``weighted``: a shingle weighs as often as it
     stands in its text and the similarity is the probability Jaccard of the weights; else all weigh the same and it is
-    the plain Jaccard."""
+    the plain Jaccard. ``with_kind``: a column more, ``copy`` for two keys of one text, ``member`` for a key of a big class and
+    the smallest of it, ``near`` for two texts, and the number of keys that each end of the pair stands for (n_a, n_b)."""
     spark = df.sparkSession
     base = df.select(F.col(group).alias("g") if group else F.lit("").alias("g"), F.col(key).alias("k"), F.col(text).alias("t")) \
         .where(F.col("t").isNotNull() & F.col("k").isNotNull() & (F.length("t") >= 2 * min_words - 1)) \
@@ -200,14 +201,23 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, *, shingle: int = 5
     classes = members.groupBy("g", "h").agg(F.count("*").alias("n"), F.min("k").alias("least"))
     copies = members.join(classes.where("n > 1"), ["g", "h"])
     small, big = copies.where(F.col("n") <= expand_limit), copies.where(F.col("n") > expand_limit)
+    one = F.lit(1).cast("long")
     same = small.alias("x").join(small.alias("y"), F.expr("x.g = y.g and x.h = y.h and x.k < y.k")) \
-        .select(F.col("x.g").alias("g"), F.col("x.k").alias("ka"), F.col("y.k").alias("kb"))
-    star = big.where("k > least").select("g", F.col("least").alias("ka"), F.col("k").alias("kb"))
+        .select(F.col("x.g").alias("g"), F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), F.lit("copy").alias("kind"), one.alias("n_a"), one.alias("n_b"))
+    star = big.where("k > least").select("g", F.col("least").alias("ka"), F.col("k").alias("kb"), F.lit("member").alias("kind"), F.col("n").alias("n_a"), one.alias("n_b"))
     # a side of a link that is a big class takes part with its smallest key
     ends = members.join(linked, "h", "left_semi").join(classes.select("g", "h", "n", "least"), ["g", "h"]) \
-        .where((F.col("n") <= expand_limit) | (F.col("k") == F.col("least"))).select("g", "h", "k")
-    cross = links.join(ends.select("g", F.col("h").alias("lo"), F.col("k").alias("ka")), "lo") \
-        .join(ends.select(F.col("g").alias("g2"), F.col("h").alias("hi"), F.col("k").alias("kb")), "hi") \
-        .where("g = g2 and ka <> kb").select("g", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
-    out = same.unionByName(star).unionByName(cross).distinct()
-    return out.select(F.col("g").alias(group or "group"), F.col("ka").alias("key_a"), F.col("kb").alias("key_b"))
+        .where((F.col("n") <= expand_limit) | (F.col("k") == F.col("least"))).select("g", "h", "k", F.when(F.col("n") <= expand_limit, one).otherwise(F.col("n")).alias("n"))
+    cross = links.join(ends.select("g", F.col("h").alias("lo"), F.col("k").alias("ka"), F.col("n").alias("na")), "lo") \
+        .join(ends.select(F.col("g").alias("g2"), F.col("h").alias("hi"), F.col("k").alias("kb"), F.col("n").alias("nb")), "hi") \
+        .where("g = g2 and ka <> kb")
+    first = F.col("ka") < F.col("kb")
+    cross = cross.select("g", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), F.lit("near").alias("kind"),
+                         F.when(first, F.col("na")).otherwise(F.col("nb")).alias("n_a"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("n_b"))
+    out = same.unionByName(star).unionByName(cross)
+    if not with_kind:
+        out = out.select("g", "ka", "kb").distinct()
+        return out.select(F.col("g").alias(group or "group"), F.col("ka").alias("key_a"), F.col("kb").alias("key_b"))
+    # a key with two texts may be in a pair for more than one reason: the closest is told
+    out = out.groupBy("g", "ka", "kb").agg(F.min("kind").alias("kind"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    return out.select(F.col("g").alias(group or "group"), F.col("ka").alias("key_a"), F.col("kb").alias("key_b"), "kind", "n_a", "n_b")

@@ -62,6 +62,8 @@ def test_large_class_of_copies_is_a_star(spark):
     df = spark.createDataFrame([(f"k{i:02d}", t) for i in range(30)] + [("z", other)], "key string, text string")
     got = {(r.key_a, r.key_b) for r in near_dup.near_duplicate_pairs(df, "key", "text", expand_limit=10).collect()}
     assert got == {("k00", f"k{i:02d}") for i in range(1, 30)} | {("k00", "z")}
+    told = {(r.key_b, r.kind, r.n_a, r.n_b) for r in near_dup.near_duplicate_pairs(df, "key", "text", expand_limit=10, with_kind=True).collect()}
+    assert told == {(f"k{i:02d}", "member", 30, 1) for i in range(1, 30)} | {("z", "near", 30, 1)}
 
 
 def test_signature_estimates_jaccard():
