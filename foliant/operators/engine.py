@@ -100,6 +100,23 @@ def query(nodes: DataFrame, question: str, vector: list[float] | None = None, co
     return found.join(nodes.drop("embedding"), "node_id").orderBy("rank")
 
 
+def answer(nodes: DataFrame, question: str, vector: list[float] | None = None, config: Config = Config(), mode: str | None = None) -> DataFrame:
+    """One question's answer envelope [J12, J15]: the answer text with its confidence, filters, evidence and doubts. A mode
+    ``metadata_lookup`` gives the first nodes that pass the filters, whatever they say [J9]."""
+    p = plan(question)
+    mode = mode or p.mode
+    if mode == "metadata_lookup":
+        columns = [retrieval.contains(k, v) if op == "contains" else retrieval.equals(k, v) for k, op, v in p.filters]
+        found = nodes.where(retrieval.all_of(*columns)).orderBy("node_id").limit(config.top_k).drop("embedding") \
+            .select(F.lit(0).cast("long").alias("question_id"), F.lit(1.0).alias("score"), F.row_number().over(W.orderBy("node_id")).alias("rank"), "*")
+    else:
+        found = query(nodes, question, vector, config)
+    found = found.select("question_id", "rank", "score", F.col("node_id").alias("record_id"), "document_id", "page_id", "verification_status", (F.col("human_review_required") == "true").alias("review"),
+                         F.col("forensic_confidence_score").alias("flags_score"), "alerts", F.col("source_image_path").alias("path"))
+    asked = nodes.sparkSession.createDataFrame([(0, question, ",".join(f"{k}={v}" for k, _, v in p.filters))], "question_id long, question string, applied_filters string")
+    return retrieval.envelopes(found, asked, "metadata_lookup" if mode == "metadata_lookup" else "provenance_lookup")
+
+
 def evaluate(rankings: dict[str, DataFrame], relevant: DataFrame, config: Config = Config()) -> DataFrame:
     """Mean quality of each ranking [E17, J14]."""
     each = [retrieval.ranking_quality(r, relevant, config.evaluation_ks).withColumn("mode", F.lit(m)) for m, r in rankings.items()]

@@ -45,3 +45,18 @@ def test_query_and_evaluation(spark, nodes):
     first = ranking.where("rank = 1").select("question_id", "node_id")
     row = engine.evaluate({"bm25": ranking}, first).first()
     assert row.mode == "bm25" and row.mrr == 1 and row.recall_1 == 1
+
+
+def test_answers_are_envelopes(spark, nodes, tmp_path):
+    e = engine.answer(nodes, "which records support the boletín, uncertain regions").first()
+    assert e.answer.startswith("Provenance summary:\n[1] score=") and e.confidence == "high" and e.uncertainties == [] and not e.insufficient_evidence
+    assert e.applied_filters == "verification_status=uncertain,unit_type=region" and 1 <= len(e.evidence_summary) <= 5 and len(e.evidence_summary[0]) == 9
+    assert {x.verification_status for x in e.evidence_summary} == {"uncertain"}
+    m = engine.answer(nodes, "show uncertain regions", mode="metadata_lookup").first()
+    assert m.answer.startswith("Found 8 matching records for: show uncertain regions\n- record_id=") and m.evidence_summary[0].score == 1.0
+    none = engine.answer(nodes.limit(0), "nothing").first()
+    assert none.confidence == "low" and none.evidence_summary is None and none.uncertainties == ["No provenance-bearing results were retrieved."] and none.insufficient_evidence
+    assert '"evidence_summary":null' in retrieval.envelope_json(engine.answer(nodes.limit(0), "nothing")).first().envelope
+    filters = [("unit_type", "eq", "region"), ("language", "contains", "es")]
+    kept = engine.node_set(nodes, filters, str(tmp_path / "sets"))
+    assert kept.count() == engine.node_set(nodes.limit(0), filters[::-1], str(tmp_path / "sets")).count() > 0

@@ -51,7 +51,8 @@ def duck():
 CHECKED = ["bm25_topk", "bm25_filtered_topk", "vector_topk", "rrf_hybrid_topk", "router_modes", "answers", "record_metadata", "retrieval_texts", "document_identifiers", "marc_extract", "record_validation",
            "page_details", "page_records", "overlap_alerts", "overlap_counts_outer", "column_reading_order", "tile_clip", "index_summary", "document_breakdown", "confidence_histogram", "harvest_report",
            "confusion_prf", "label_scores", "reliability_bins", "precision_recall_curve", "average_precision_by_type", "temperature_fit", "hash_split", "proportional_sample_slots", "class_preserving_prune",
-           "nearest_neighbours", "token_words", "p5_found", "p5_report"]
+           "nearest_neighbours", "token_words", "p5_found", "p5_report", "retrieval_ablation", "route_hit_rates", "lookup_answers", "forensic_scores", "synthetic_texts", "asset_ranking", "polygon_scanlines",
+           "temperature_calibration", "title_questions", "round_robin_pick", "corpus_round_trip", "index_round_trip", "record_files", "upsert_round_trip", "planned_modes", "built_filters", "moved_polygons", "epoch_sample"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
