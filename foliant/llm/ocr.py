@@ -52,12 +52,14 @@ _WORD_FOR_PAGE = r"(?:p[áàa]g(?:ina)?|hoja|full|fol(?:io)?|page|seite|blatt|fo
 _NUMBER_LINE = re.compile(rf"^\s*(?:{_WORD_FOR_PAGE}\s*{_N}\.?|[-–—]\s*{_N}\s*[-–—]|[(\[]\s*{_N}\s*[)\]]|\.\s*{_N}\s*\.|\d{{1,4}})\s*$", re.I)
 _BEFORE_NUMBER = re.compile(rf"(?:^|(?<=\s))(?:(?P<word>{_WORD_FOR_PAGE[:-1]}\s+|p[áàa]g\.\s*)|(?P<dash>[-–—] )|(?P<open>[(\[])|(?P<dot>\. ))$", re.I)
 _AFTER_NUMBER = {"word": re.compile(r"(?!\S)"), "dash": re.compile(r" [-–—](?!\S)"), "open": re.compile(r"[)\]](?!\S)"), "dot": re.compile(r" \.(?!\S)")}
-_DIGITS = re.compile(r"(?<![^\W_])[\dlIO]{1,4}(?![^\W_]|['’])")
+# the character class comes first, so that the search skips to it; then that no letter or digit stands before
+_DIGITS = re.compile(r"[\dlIO](?<![^\W_].)[\dlIO]{0,3}(?![^\W_]|['’])")
 _READ = str.maketrans("lIO", "110")
 _NUMBER_BARE = re.compile(r"^(\d{1,4}) (?=[«“¿¡(]*[A-ZÀ-Þ])|(?<=[.!?…]) (\d{1,4})$|(?<=[.!?…]) (\d{1,4})(?= [«“¿¡(]*[A-ZÀ-Þ])")
 _HEADER_LINE = re.compile(r"^\s*(\S+(?: +\S+){0,4}?)(?: [—–|-] |[ \t]{2,})(\S.{2,60}?)\s*$")
 _SEPARATOR = re.compile(r"(?<=\S)(?: [—–|-] |[ \t]{2,})(?=\S)")
-_MAY_MARK = re.compile(r" [—–|-] |[ \t]{2,}|\d|[(\[]|(?<![^\W_])[lIO]{1,4}(?![^\W_]|['’])")
+_SEPARATES = (" — ", " – ", " | ", " - ", "  ", "\t")
+_DIGIT_OR_OPEN = re.compile(r"[\d(\[]")
 _PAGE_INDEX = re.compile(r"_p0*(\d+)$")
 
 
@@ -83,6 +85,15 @@ def without_divided(text: str, divided: list[tuple[int, int, str, str]]) -> str:
     return " ".join([*cut, text[at:]])
 
 
+def _separates(text: str) -> bool:
+    return any(x in text for x in _SEPARATES)
+
+
+def _may_mark(text: str) -> bool:
+    """Whether a header or a page number may stand in a text; False is sure."""
+    return _separates(text) or _DIGIT_OR_OPEN.search(text) is not None or _DIGITS.search(text) is not None
+
+
 class Headers:
     """Beginnings of running headers (folded, up to five words) and how each goes on; found with a few letters misread."""
 
@@ -134,10 +145,10 @@ class Headers:
     def strip(self, text: str) -> tuple[str, bool]:
         """The text without headers, and whether it had any."""
         found = False
-        if not self.tails or not _MAY_MARK.search(text):
+        if not self.tails or not _separates(text):
             return text, found
         lines = text.split("\n")
-        kept = [line for line in lines if not (8 < len(line) < 90 and _SEPARATOR.search(line) and self.line(line))]
+        kept = [line for line in lines if not (8 < len(line) < 90 and _separates(line) and self.line(line))]
         if len(kept) < len(lines) and (len(lines) > 1 or len(text) < 80):
             found, text = True, "\n".join(kept)
         for m in reversed(list(_SEPARATOR.finditer(text))):
@@ -163,11 +174,11 @@ def _inline_number(text: str, m: re.Match) -> tuple[int, int] | None:
 def strip_furniture(text: str, page_index: int | None, headers: Headers) -> tuple[str, bool, bool]:
     """The text without running headers and page numbers, and whether it had any of either."""
     number = False
-    if not _MAY_MARK.search(text):
+    if not _may_mark(text):
         return text, False, number
     lines = text.split("\n")
     if len(lines) > 1 or len(text) < 80:
-        kept = [line for line in lines if not (len(line) < 30 and _MAY_MARK.search(line) and _NUMBER_LINE.match(line))]
+        kept = [line for line in lines if not (len(line) < 30 and _may_mark(line) and _NUMBER_LINE.match(line))]
         number, text = len(kept) < len(lines), "\n".join(kept)
     text, header = headers.strip(text)
     for m in reversed(list(_DIGITS.finditer(text))):
