@@ -100,7 +100,7 @@ def bm25(corpus: DataFrame, questions: DataFrame, k: int = TOP_K, k1: float = K1
     Words of a question count as often as they occur. Statistics are those of ``corpus``: filter it first. The words of a block of
     questions are counted in one aggregate; the documents are then scored against the block, a matrix product a batch, and each
     task keeps its k best a question, so no posting is shuffled and a common word costs no more than a rare one."""
-    docs = corpus.where(F.length("text") > 0).select("node_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    docs = spread(corpus.where(F.length("text") > 0).select("node_id", "text")).select("node_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     return reduce(DataFrame.unionByName, [_bm25_block(docs, q, k, k1, b, digits) for q in _blocks(questions)])
 
 
@@ -149,7 +149,7 @@ def _bm25_block(docs: DataFrame, questions: DataFrame, k: int, k1: float, b: flo
         if rows is not None:
             yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
-    found = spread(docs).mapInArrow(score, _types(docs, questions))
+    found = docs.mapInArrow(score, _types(docs, questions))
     return rank(found, "question_id", k, F.desc("score"), "node_id")
 
 
