@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from foliant.functions import geometry as G
 from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators.archive import LATEST, latest_records
 from foliant.operators.spatial import _MARKS, _TEXTS, mark_boxes, text_boxes
 from foliant.operators.summary import _bins_sql, bin_number
 from foliant.plans.registry import Registry
-from foliant.plans.staging import scan
+from foliant.plans.staging import scan, stage
 
 R = Registry()
 EPS = 1e-9
+COCO_AT = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
 def binary_counts(df: DataFrame, truth: str, guess: str, *by: str) -> DataFrame:
@@ -89,12 +93,11 @@ def curve_area(curve: DataFrame) -> DataFrame:
     return steps.agg(F.round(F.coalesce(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2), F.lit(0.0)), 6).alias("auc"))
 
 
-def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], threshold: float | None = 0.5) -> DataFrame:
+def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     """One-to-one matching by score: each prediction takes the free truth of its group with the largest IoU [D5].
 
     preds: ``by``, pred_id, score, bbox; truths: ``by``, truth_id, bbox. Returns ``by``, pred_id, score, truth_id (null without a
-    match), iou. A group is what one page holds of one class, so it fits a task; ties go by id. Without a ``threshold`` the last
-    column of ``by`` is each group's own."""
+    match), iou. A group is what one page holds of one class, so it fits a task; ties go by id."""
     fields = ", ".join(f"`{c}` {preds.schema[c].dataType.simpleString()}" for c in by)
     schema = f"{fields}, pred_id {preds.schema['pred_id'].dataType.simpleString()}, score double, truth_id {truths.schema['truth_id'].dataType.simpleString()}, iou double"
 
@@ -102,7 +105,7 @@ def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], threshold:
         free = {i: np.asarray(b, float) for i, b in sorted(zip(t["truth_id"], t["bbox"]), key=lambda x: x[0])}
         rows = []
         for r in p.sort_values(["score", "pred_id"], ascending=[False, True]).itertuples():
-            b, best, won = np.asarray(r.bbox, float), key[-1] if threshold is None else threshold, None
+            b, best, won = np.asarray(r.bbox, float), threshold, None
             for i, g in free.items():
                 w = max(0.0, min(b[0] + b[2], g[0] + g[2]) - max(b[0], g[0]))
                 h = max(0.0, min(b[1] + b[3], g[1] + g[3]) - max(b[1], g[1]))
@@ -117,42 +120,85 @@ def greedy_match(preds: DataFrame, truths: DataFrame, by: list[str], threshold:
     return preds.select(*by, "pred_id", "score", "bbox").groupBy(*by).cogroup(truths.select(*by, "truth_id", "bbox").groupBy(*by)).applyInPandas(match, schema)
 
 
-def average_precision(scored: DataFrame, n_truths: DataFrame, by: str, score: str, order: list) -> DataFrame:
-    """All-point AP of ranked hits, best ``score`` first, ties by ``order`` [H5, H6]. scored: ``by``, hit, score, order columns;
-    n_truths: ``by``, n. Groups without a prediction have 0.
+def greedy_levels(preds: DataFrame, truths: DataFrame, by: list[str], levels: list[float]) -> DataFrame:
+    """The matching of ``greedy_match`` at several ascending IoU thresholds: ``by``, pred_id, score and found, whose bit i is set if
+    the prediction has a truth at the i-th of ``levels``.
+
+    Pairs below the lowest level don't leave the join; the others come to Python group by group in the order of matching. At each
+    level a truth is free or taken and a prediction has one or none, which is a bit, so one pass over the pairs is all levels' work."""
+    p = preds.select(*by, "pred_id", F.col("score").cast("double").alias("score"), F.col("bbox").cast("array<double>").alias("__p"), F.monotonically_increasing_id().alias("__row"))
+    t = truths.select(*[F.col(c).alias(f"__{c}") for c in by], "truth_id", F.col("bbox").cast("array<double>").alias("__t"))
+    iou = F.nanvl(G.box_iou(F.col("__p"), F.col("__t")), F.lit(0.0))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    pairs = p.join(t, reduce(Column.__and__, [*same, iou >= levels[0]]), "left").select(*by, "pred_id", "score", "__row", "truth_id", iou.alias("__iou"))
+    w = W.partitionBy(*by).orderBy(F.desc("score"), "pred_id", "__row", F.desc("__iou"), "truth_id")  # the rows leave the window in its order
+    pairs = pairs.select("*", (F.row_number().over(w) == 1).alias("__first"), (~F.lead("__row").over(w).eqNullSafe(F.col("__row"))).alias("__last"))
+    keep = [*by, "pred_id", "score"]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, mine = {}, 0
+        for b in batches:
+            reached = np.searchsorted(levels, b.column("__iou").fill_null(-1.0).to_numpy(), side="right").tolist()
+            found = []
+            for first, last, truth, n in zip(b.column("__first").to_pylist(), b.column("__last").to_pylist(), b.column("truth_id").to_pylist(), reached):
+                if first:
+                    taken = {}
+                won = (1 << n) - 1 & ~mine & ~taken.get(truth, 0)
+                if won:
+                    mine |= won
+                    taken[truth] = taken.get(truth, 0) | won
+                if last:
+                    found.append(mine)
+                    mine = 0
+            kept = b.filter(b.column("__last"))
+            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in keep], pa.array(found, pa.int32())], names=[*keep, "found"])
+
+    return pairs.mapInArrow(match, pairs.select(*keep, F.lit(0).alias("found")).schema)
+
+
+def hit_areas(scored: DataFrame, by: str, score: str, order: list, hits: list[str]) -> DataFrame:
+    """``by`` and, for each of the boolean columns ``hits``, the sum over its hits of the best precision from their rank on. Best
+    ``score`` first, ties by ``order``; all ``hits`` are summed in the same ranking.
 
     A group is cut into parts by thousandths of the score; ranks, hits and the envelope of precision are counted inside parts
-    and carried over them, so one class of any size is many tasks' work."""
-    part = -F.floor(F.col(score) * 1000)
+    and carried over them, so one class of any size is many tasks' work. Windows only look back: Spark runs through the rest of
+    the part anew for each row of a window that looks ahead."""
     inside = W.partitionBy(by, "__part").orderBy(F.desc(score), *order)
-    r = scored.withColumn("__part", part).withColumn("hit", F.col("hit").cast("long"))
-    r = r.withColumn("k", F.row_number().over(inside)).withColumn("tp", F.sum("hit").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    parts = scored.withColumn("__part", part).groupBy(by, "__part").agg(F.count("*").alias("k"), F.sum(F.col("hit").cast("long")).alias("tp"))
     earlier = W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    carried = parts.select(by, "__part", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k0"), F.coalesce(F.sum("tp").over(earlier), F.lit(0)).alias("tp0"))
+    later = W.partitionBy(by).orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)
+    onward = W.partitionBy(by, "__part").orderBy(F.desc("__k")).rowsBetween(W.unboundedPreceding, 0)
+    cut = scored.withColumn("__part", -F.floor(F.col(score) * 1000)).withColumns({h: F.col(h).cast("long") for h in hits})
+    parts = cut.groupBy(by, "__part").agg(F.count("*").alias("__k0"), *[F.sum(h).alias(f"{h}_before") for h in hits])
+    carried = parts.select(by, "__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("__k0", *[f"{h}_before" for h in hits])])
+    r = cut.withColumns({"__k": F.row_number().over(inside)} | {f"{h}_tp": F.sum(h).over(inside.rowsBetween(W.unboundedPreceding, 0)) for h in hits}).join(carried, [by, "__part"])
     # precision falls between hits, so the envelope is made by hits alone, and only they add to the area
-    r = r.join(carried, [by, "__part"]).where("hit = 1").withColumn("precision", (F.col("tp") + F.col("tp0")) / (F.col("k") + F.col("k0")))
-    tops = r.groupBy(by, "__part").agg(F.max("precision").alias("top"))
-    later = tops.select(by, "__part", F.max("top").over(W.partitionBy(by).orderBy("__part").rowsBetween(1, W.unboundedFollowing)).alias("beyond"))
-    r = r.withColumn("rest", F.max("precision").over(W.partitionBy(by, "__part").orderBy("k").rowsBetween(0, W.unboundedFollowing))).join(later, [by, "__part"])
-    area = r.groupBy(by).agg(F.sum(F.greatest("rest", "beyond")).alias("area"))
-    return n_truths.join(area, by, "left").select(by, F.round(F.coalesce(F.col("area") / F.col("n"), F.lit(0.0)), 6).alias("ap"))
+    r = r.select(by, "__part", "__k", *[F.when(F.col(h) == 1, (F.col(f"{h}_tp") + F.col(f"{h}_before")) / (F.col("__k") + F.col("__k0"))).alias(h) for h in hits])
+    tops = r.groupBy(by, "__part").agg(*[F.max(h).alias(h) for h in hits])
+    beyond = tops.select(by, "__part", *[F.max(h).over(later).alias(f"{h}_beyond") for h in hits])
+    r = r.withColumns({f"{h}_rest": F.max(h).over(onward) for h in hits}).join(beyond, [by, "__part"])
+    return r.groupBy(by).agg(*[F.sum(F.when(F.col(h).isNotNull(), F.greatest(f"{h}_rest", f"{h}_beyond"))).alias(h) for h in hits])
+
+
+def average_precision(scored: DataFrame, n_truths: DataFrame, by: str, score: str, order: list) -> DataFrame:
+    """All-point AP of ranked hits, best ``score`` first, ties by ``order`` [H5, H6]. scored: ``by``, hit, score, order columns;
+    n_truths: ``by``, n. Groups without a prediction have 0."""
+    area = hit_areas(scored, by, score, order, ["hit"])
+    return n_truths.join(area, by, "left").select(by, F.round(F.coalesce(F.col("hit") / F.col("n"), F.lit(0.0)), 6).alias("ap"))
 
 
 def coco_map(preds: DataFrame, truths: DataFrame, group: str, kind: str) -> DataFrame:
     """ap50, ap75 and map: average precision over the union of classes at IoU .50 to .95 by .05, averaged over classes and
     thresholds [H7]. preds: ``group``, ``kind``, pred_id, score, bbox; truths: ``group``, ``kind``, truth_id, bbox. A class without
-    truths, or without predictions, counts as 0. All thresholds are matched in one pass: a threshold is part of the group."""
-    at = F.explode(F.array(*[F.lit(round(0.5 + 0.05 * i, 2)) for i in range(10)]))
-    p, t = preds.withColumn("iou_at", at), truths.withColumn("iou_at", at)
-    classes = preds.select(kind).union(truths.select(kind)).distinct()
-    every = classes.select(kind, at.alias("iou_at"))
-    n = every.join(t.groupBy(kind, "iou_at").agg(F.count("*").alias("n")), [kind, "iou_at"], "left").select(F.concat_ws(":", kind, "iou_at").alias("c"), "iou_at", F.coalesce("n", F.lit(0)).alias("n"))
-    m = greedy_match(p, t, [group, kind, "iou_at"], None).select(F.concat_ws(":", kind, "iou_at").alias("c"), "score", group, "pred_id", F.col("truth_id").isNotNull().alias("hit"))
-    ap = average_precision(m, n.where("n > 0").select("c", "n"), "c", "score", [F.col(group), F.col("pred_id")])
-    mean = n.join(ap, "c", "left").groupBy("iou_at").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"))
-    pick = lambda x: F.round(F.max(F.when(F.col("iou_at") == x, F.col("ap"))), 5)
-    return mean.agg(pick(0.5).alias("ap50"), pick(0.75).alias("ap75"), F.round(F.avg("ap"), 5).alias("map"))
+    truths, or without predictions, counts as 0. The matching is staged, since ranks, counts and classes all read it."""
+    found = stage(greedy_levels(preds, truths, [group, kind], COCO_AT), "matched-boxes")
+    n = found.select(kind, F.lit(0).alias("n")).union(truths.select(kind, F.lit(1).alias("n"))).groupBy(kind).agg(F.sum("n").alias("n"))
+    hits = [f"hit{i}" for i in range(len(COCO_AT))]
+    scored = found.select(kind, group, "pred_id", "score", *[(F.col("found").bitwiseAND(F.lit(1 << i)) > 0).alias(h) for i, h in enumerate(hits)])
+    areas = hit_areas(scored, kind, "score", [F.col(group), F.col("pred_id")], hits)
+    ap = n.join(areas, kind, "left").select(*[F.coalesce(F.when(F.col("n") > 0, F.round(F.col(h) / F.col("n"), 6)), F.lit(0.0)).alias(h) for h in hits])
+    mean = ap.agg(*[F.avg(h).alias(h) for h in hits])
+    total = reduce(Column.__add__, [F.col(h) for h in hits])
+    return mean.select(F.round(hits[COCO_AT.index(0.5)], 5).alias("ap50"), F.round(hits[COCO_AT.index(0.75)], 5).alias("ap75"), F.round(total / len(hits), 5).alias("map"))
 
 
 def fit_temperature(df: DataFrame, logits: str, label: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,38 @@ def test_coco_map(spark):
     assert evaluation.coco_map(preds.limit(0), truths.limit(0), "page", "kind").first().map is None
 
 
+def test_coco_map_of_many_pages_equals_brute_force(spark):
+    r = random.Random(3)
+    boxes = lambda n: [[r.randrange(6), r.randrange(6), r.randrange(8, 13), r.randrange(8, 13)] for _ in range(n)]
+    pages = {(f"p{i}", k): (boxes(r.randrange(4)), boxes(r.randrange(4))) for i in range(1500) for k in "ab"}
+    preds = [(p, k, f"{i}", r.choice([0.5, 0.9, round(r.random(), 2)]), b) for (p, k), (found, _) in pages.items() for i, b in enumerate(found)]
+    truths = [(p, k, f"{i}", b) for (p, k), (_, there) in pages.items() for i, b in enumerate(there)]
+
+    def iou(a, b):
+        w, h = (max(0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+        return w * h / (a[2] * a[3] + b[2] * b[3] - w * h + 1e-9)
+
+    def ap(kind, least):
+        free = {(p, k): dict(enumerate(there)) for (p, k), (_, there) in pages.items()}
+        precision, tp, hits = [], 0, []
+        for n, (p, k, _, _, b) in enumerate(sorted((x for x in preds if x[1] == kind), key=lambda x: (-x[3], x[0], x[2])), 1):
+            best = max(free[p, k], key=lambda i: (iou(b, free[p, k][i]), -i), default=None)
+            hits.append(best is not None and iou(b, free[p, k][best]) >= least)
+            if hits[-1]:
+                del free[p, k][best]
+            tp += hits[-1]
+            precision.append(tp / n)
+        for i in range(len(precision) - 2, -1, -1):
+            precision[i] = max(precision[i], precision[i + 1])
+        return sum(x for x, hit in zip(precision, hits) if hit) / sum(t[1] == kind for t in truths)
+
+    want = {at: (ap("a", at) + ap("b", at)) / 2 for at in (round(0.5 + 0.05 * i, 2) for i in range(10))}
+    began = time.monotonic()
+    got = evaluation.coco_map(spark.createDataFrame(preds, "page string, kind string, pred_id string, score double, bbox array<int>"), spark.createDataFrame(truths, "page string, kind string, truth_id string, bbox array<int>"), "page", "kind").first()
+    assert (got.ap50, got.ap75, got.map) == pytest.approx((want[0.5], want[0.75], sum(want.values()) / 10), abs=2e-5)
+    assert time.monotonic() - began < 60  # a Python call for each page, class and threshold takes minutes
+
+
 def test_places_in_parts(spark):
     r = random.Random(1)
     rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.randrange(1000)) for _ in range(500)]
